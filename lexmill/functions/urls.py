@@ -62,3 +62,27 @@ def absolute(base: Column, href: Column) -> Column:
         .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
         .otherwise(F.concat(folder, href))
     )
+
+
+# Parameters that only track where a visit came from.
+TRACKING = "utm_[a-z0-9_]+|fbclid|gclid|yclid|ysclid|dclid|msclkid|mc_cid|mc_eid|igshid|_openstat|_ga|from_source"
+
+
+def canonical(url: Column) -> Column:
+    """One spelling of a page's address.
+
+    Scheme, letter case of the host, a leading ``www.``, default ports, doubled
+    and trailing slashes, percent escapes, the fragment, tracking parameters and
+    the order of parameters make no difference; other hosts and other parameters
+    do.  Null stays null.
+    """
+    plain = F.regexp_replace(F.trim(url), r"#.*$", "")
+    rest = F.regexp_replace(plain, r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^www\.|:(?:80|443)$|\.$", "")
+    host = F.regexp_replace(host, r":(?:80|443)$", "")
+    path = F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1)
+    path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    path = F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), r"/$", "")
+    query = F.regexp_extract(rest, r"\?(.*)$", 1)
+    params = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_like(p, F.lit(rf"(?i)^(?:{TRACKING})(?:=|$)")))
+    return F.concat(host, path, F.lit("?"), F.array_join(F.array_sort(params), "&"))
