@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import pages
+from lexmill.llm import history, mixing, pages, reading, tokenizer
 from lexmill.sources.readers import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: Articles from here on are new; each UTC day is a batch.
+BATCH_START = 1764374400
+
 _samples: dict = {}
 
 
@@ -39,6 +42,12 @@ def p2_found(s, d):
     return pages.residue_cases(s, table(s, d, "articles"), _sample(s, d)).distinct()
 
 
+@query
+def p3_found(s, d):
+    """Duplicates among new articles and why."""
+    return history.duplicates(s, table(s, d, "articles"), table(s, d, "article_hashes"), _sample(s, d), BATCH_START)
+
+
 @query
 def p4_found(s, d):
     """Terms too rare or too common."""
@@ -73,3 +82,34 @@ def p6_text(s, d):
 def p7_found(s, d):
     """Garbled blocks and their restored form."""
     return pages.garbled_blocks(s, table(s, d, "articles"), _sample(s, d)).select("id", "fixed_md5").distinct()
+
+
+@query
+def p8_ids(s, d):
+    """Ids of every document."""
+    return tokenizer.encode(table(s, d, "documents"))
+
+
+@query
+def p9_mix(s, d):
+    """Documents chosen for each source and how often."""
+    return mixing.mix(s, table(s, d, "documents"), table(s, d, "mix_targets"))[0]
+
+
+@query
+def p9_report(s, d):
+    """Target and actual shares of the sources."""
+    return mixing.mix(s, table(s, d, "documents"), table(s, d, "mix_targets"), name="p9_report")[1]
+
+
+@query
+def p10_found(s, d):
+    """Easy and hard documents."""
+    got = reading.levels(s, table(s, d, "documents"), table(s, d, "reading_labels")).where(F.col("level").isin(1, reading.LEVELS))
+    return got.select("doc_id", F.when(F.col("level") == 1, "easy").otherwise("hard").alias("band")).distinct()
+
+
+@query
+def p10_levels(s, d):
+    """Level of every document, null where it has none."""
+    return reading.levels(s, table(s, d, "documents"), table(s, d, "reading_labels"))

@@ -1,0 +1,26 @@
+"""Intermediate tables in the folder that all executors share.
+
+The folder is ``spark.checkpoint.dir`` of the session; where none is set, as in
+tests on one machine, a temporary one is made and set.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as the session's table of that name and read it back, cutting lineage."""
+    path = f"{folder(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
