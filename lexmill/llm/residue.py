@@ -23,7 +23,7 @@ _FILLER = ("рыба-текст", "blindtext", "текст текст текст
 _ERROR = (
     r"^(?:error |ошибка |fehler )?[45]\d\d(?!\w| км| km| круг| laps| runden)", r"^internal server error", r"^bad gateway", r"^service (?:temporarily )?unavailable", r"^сервис временно недоступен", r"^page not found", r"^страница не найдена", r"^seite nicht gefunden",
     r"^access denied", r"^доступ (?:ограничен|запрещ[её]н)", r"^zugriff verweigert", r"^javascript is required", r"^включите (?:поддержку скриптов|javascript)", r"^bitte .*javascript", r"^checking your browser", r"^технические работы", r"^сайт на обслуживании", r"^down for maintenance", r"^wartungsarbeiten",
-    r"^sign in to continue", r"^требуется вход", r"^anmeldung erforderlich", r"^too many requests", r"^слишком много запросов", r"^zu viele anfragen", r"^ваш браузер устарел", r"^your browser is out of date", r"^oops", r"^упс", r"^hoppla",
+    r"^sign in to continue", r"^требуется вход", r"^anmeldung erforderlich", r"^too many requests", r"^слишком много запросов", r"^zu viele anfragen", r"^ваш браузер устарел", r"^your browser is out of date", r"^oops", r"^упс", r"^hoppla", r"^the owner has not", r"^this domain", r"^diese domain", r"^домен ", r"^under construction",
 )
 _SEED_SIGNS = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDER))
 _SEED_EMPTY = re.compile(rf"{_EMPTY}(?: {_EMPTY})*")
@@ -33,6 +33,8 @@ _MAY_HOLD = re.compile(r"[{$<%_:#@\[]")
 SEED_LENGTH = 80
 
 ROUNDS = 6
+#: First guess for passages of trusted records that no rich record has.
+BESIDE = 0.5
 PSEUDO = 0.5
 #: No feature decides alone.
 WEIGHT_MOST = 5.0
@@ -114,11 +116,13 @@ def fit(records: list[list[str]]) -> Model:
     share weighing ``LAMBDA``.  Smoothing is in proportion to the classes' mass,
     so that an unseen feature speaks for neither.
     """
-    negative, others, seeds = Counter(), Counter(), Counter()
+    negative, others, seeds, beside = Counter(), Counter(), Counter(), set()
     for r in records:
         t = [p for p in r if trusted(p)]
         seeds.update(t)
         (negative if not t and _rich(r) else others).update(r)
+        if t and not _rich(r):
+            beside.update(r)
     if not seeds:
         return Model({}, -1e9)
     for p in list(others):
@@ -131,7 +135,8 @@ def fit(records: list[list[str]]) -> Model:
     pos0, np0 = _count(rows(seeds), lambda _: 1.0)
     neg0, nn0 = _count(rows(negative), lambda _: 1.0)
     unl = rows(others)
-    q = [0.0] * len(unl)
+    # What stands beside a trusted passage on a page without body may be of its kind.
+    q = [BESIDE if p in beside else 0.0 for p in sorted(others)]
     model = Model({}, 0.0)
     for _ in range(ROUNDS):
         up, nup = _count(unl, lambda i: LAMBDA * q[i])
