@@ -156,9 +156,18 @@ def site_b_text(html: pd.Series) -> pd.Series:
     return html.map(textblock_of, na_action="ignore")
 
 
-def page_text(html: Column, url: Column, site_a: str = "f1news.ru", site_b: str = "f1report.ru") -> Column:
-    """Layout chosen by a substring of the address; generic otherwise."""
-    return F.when(url.contains(site_a), site_a_text(html)).when(url.contains(site_b), site_b_text(html)).otherwise(generic_text(html))
+# Parts of the addresses of the two sites with layouts of their own.
+SITE_A, SITE_B = "f1news.ru", "f1report.ru"
+
+
+def page_text(html: Column, url: Column, site_a: str = SITE_A, site_b: str = SITE_B) -> Column:
+    """Layout chosen by a part of the address; generic otherwise.
+
+    The Python extractors see null for all pages but their site's.
+    """
+    a, b = url.contains(site_a), url.contains(site_b) & ~url.contains(site_a)
+    generic = F.when(~(F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))), html)
+    return F.coalesce(site_a_text(F.when(a, html)), site_b_text(F.when(b, html)), generic_text(generic))
 
 
 def char_count(text: Column) -> Column:
