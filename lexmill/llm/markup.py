@@ -45,6 +45,10 @@ def _entered(path: tuple[str, ...], before: tuple[str, ...]) -> list[str]:
     return ["<" + _HEX.sub("*", p) for p in path[k:]] or ["<>"]
 
 
+def _beside(path: tuple[str, ...], edge: tuple[str, ...]) -> bool:
+    return len(path) > 1 and path[-1] != "h1" and path[:-1] == edge[:-1]
+
+
 @dataclass
 class Weights:
     words: dict[str, float]
@@ -71,6 +75,11 @@ class Weights:
             total += s
             if total > best:
                 best, lo, hi = total, start, i + 1
+        # Short pieces at the ends belong to it if they stand in the same element.
+        while 0 < lo < hi and _beside(blocks[lo - 1][1], blocks[lo][1]):
+            lo -= 1
+        while 0 < hi < len(blocks) and lo < hi and _beside(blocks[hi][1], blocks[hi - 1][1]):
+            hi += 1
         return lo, hi
 
 
