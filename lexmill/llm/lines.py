@@ -12,7 +12,7 @@ from hashlib import md5
 
 import numpy as np
 
-from lexmill.llm.terms import LETTERS
+from lexmill.llm.terms import letter_runs
 
 SPAN = 1 << 16
 #: Offsets up to which a container is an array.
@@ -20,7 +20,7 @@ ARRAY_MOST = 4096
 
 
 def reduced(block: str) -> str:
-    return "".join(LETTERS.findall(block)).lower()
+    return "".join(letter_runs(block)).lower()
 
 
 def line_key(line: str) -> bytes:

@@ -14,14 +14,33 @@ from collections import Counter
 
 #: Characters that the regex engine takes for word characters and that are no letters.
 _NUMERIC = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{_NUMERIC}]+")
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERIC}]+")
+_NEARLY = re.compile(r"[^\W\d_]+")
 #: Counters that a task holds before it hands them on.
 HELD = 400_000
 
 
+def letter_runs(text: str) -> list[str]:
+    """Longest runs of letters (category L).
+
+    The engine's word characters hold letters and some numeric signs; the rare
+    runs with such a sign are split again.
+    """
+    found = _NEARLY.findall(text)
+    if "".join(found).isalpha():
+        return found
+    out = []
+    for t in found:
+        if t.isalpha():
+            out.append(t)
+        else:
+            out += _LETTERS.findall(t)
+    return out
+
+
 def terms(blocks: list[str]) -> list[str]:
     """Terms of a record's blocks, one per occurrence."""
-    return [t.lower() for t in LETTERS.findall("\n".join(blocks))]
+    return [t.lower() for t in letter_runs("\n".join(blocks))]
 
 
 class LastSeen:
