@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -40,12 +41,17 @@ _HEX = re.compile(r"[0-9a-f]{4,}")
 _SENTENCE_END = (".", "!", "?", "…", "»", "”", "“", '"')
 
 
+@lru_cache(50_000)
+def _places(path: tuple[str, ...]) -> tuple[bool, bool]:
+    """Whether a path lies in a story's container, and in the site's furniture."""
+    return any(map(_STORY_BOX.match, path)), any(map(_SITE_BOX.match, path))
+
+
 def teach(blocks: list[tuple[str, tuple[str, ...]]]) -> list[int] | None:
     """Labels of a page of known layout, None where no story container is found."""
     labels, found = [], False
     for text, path in blocks:
-        site = any(map(_SITE_BOX.match, path))
-        box = any(map(_STORY_BOX.match, path))
+        box, site = _places(path)
         found |= box and not site
         labels.append(int(box and not site and not _ADDED.search(text)))
     return labels if found and any(labels) else None
