@@ -38,6 +38,9 @@ _EDGE = ",.!?;«»„“”\"'’()…*#`=[]{}|_—–-"
 _DIGIT = re.compile(r"\d")
 _DOMAIN = re.compile(r"[a-zA-Z]\.[a-zA-Z]{2}")
 _HEX = re.compile(r"[0-9a-f]{4,}")
+_MAY_MARK = re.compile(r"[<\[$\\|]")
+_SIGNS = frozenset("<[]$\\|{}>")
+_MARK = re.compile(r"(</?[a-z0-9]+|\[\[|\]\]|\$+|\\[a-z]+|\\[\[\]]|[|{}>])")
 _SENTENCE_END = (".", "!", "?", "…", "»", "”", "“", '"')
 
 
@@ -139,7 +142,10 @@ def encode(pages: list[list[tuple[str, tuple[str, ...]]]]) -> Sequences:
     ids, starts, dense = [], [], []
     get = _WORDS.__getitem__
     for text in texts:
-        words = [w.strip(_EDGE) for w in _DIGITS.sub("9", text.lower()).split()]
+        low = _DIGITS.sub("9", text.lower())
+        if _MAY_MARK.search(low):
+            low = _MARK.sub(r" \1 ", low)
+        words = [w.strip(_EDGE) or (w if w[0] in _SIGNS else "") for w in low.split()]
         starts.append(len(ids))
         ids.extend(map(get, words))
         ids.append(get("^" + words[0]) if words else 0)
