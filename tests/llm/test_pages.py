@@ -62,6 +62,9 @@ def test_lines_against_brute_force(spark):
     got = {(r.source_name, r.line_md5, r.records) for r in pages.repeated_lines(articles(spark, rows)).collect()}
     assert got == {("s", md5(b"shareit").hexdigest(), 12)}
     assert pages.repeated_lines(articles(spark, [])).count() == 0
+    kept = {r.id: r.text for r in pages.without_lines(articles(spark, rows)).where("id <> 3").collect()}
+    assert kept[5] == "own qqqqq\n42" and kept[101] == "Share it" and kept[200] == "Share it"
+    assert pages.without_lines(articles(spark, rows)).count() == len(rows)
 
 
 def test_bitmaps():
