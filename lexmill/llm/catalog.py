@@ -66,6 +66,12 @@ def p5_found(s, d):
     return pages.repeated_lines(table(s, d, "articles")).select("source_name", "line_md5")
 
 
+@query
+def p5_text(s, d):
+    """Records without their source's repeated lines."""
+    return pages.without_lines(table(s, d, "articles"))
+
+
 @query
 def p6_found(s, d):
     """Markup shown in stories."""
