@@ -1,15 +1,21 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session; where none is set, as in
-tests on one machine, a temporary one is made and set.
+tests on one machine, a temporary one is made and set.  Every table has a path of
+its own, and all of a process's tables are removed when it ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -20,7 +26,16 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as the session's table of that name and read it back, cutting lineage."""
-    path = f"{folder(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    """Write ``df`` as a new table and read it back, cutting lineage."""
+    path = f"{folder(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
