@@ -133,26 +133,35 @@ def _condition(ast, flag) -> Column:
     return fold_ast(ast, flag, F.lit(False), lambda x: ~x, lambda a, b: a & b, lambda a, b: a | b)
 
 
-def _flags(post: DataFrame, universe: DataFrame | None, terms: list[str]) -> DataFrame:
-    """``(doc_id, f0, f1, …)``: one aggregation whatever the number of words."""
-    hit = post.where(F.col("term").isin(terms)) if terms else post.where(F.lit(False))
+def _flags(post: DataFrame, universe: DataFrame | None, terms: list[str], whole: bool) -> DataFrame:
+    """``(doc_id, f0, f1, …)``: one aggregation whatever the number of words.
+
+    ``whole`` asks for documents without any query word too: those of ``universe``,
+    or, where that is None, all of ``post`` in the same aggregation.
+    """
+    hit = post if whole and universe is None else post.where(F.col("term").isin(terms)) if terms else post.where(F.lit(False))
     flags = hit.groupBy("doc_id").agg(*(F.max(F.col("term") == t).alias(f"f{i}") for i, t in enumerate(terms)), F.lit(True).alias("_any"))
-    if universe is None:
+    if universe is None or not whole:
         return flags
     both = universe.select("doc_id").join(flags, "doc_id", "left")
     return both.select("doc_id", *(F.coalesce(f"f{i}", F.lit(False)).alias(f"f{i}") for i in range(len(terms))))
 
 
-def search(post: DataFrame, universe: DataFrame, query: str, stemmer: str = "query", fold: str = "ascii") -> DataFrame:
-    """Ids of matching documents; ``universe`` (doc_id unique) bounds NOT."""
+def search(post: DataFrame, universe: DataFrame | None, query: str, stemmer: str = "query", fold: str = "ascii") -> DataFrame:
+    """Ids of matching documents.
+
+    ``post(term, doc_id)`` may repeat rows, so occurrences serve as well as
+    postings.  NOT is bounded by ``universe`` (unique doc_id), or by the documents
+    of ``post`` where it is None, which spares a second scan.
+    """
     ast = parse(query, stemmer, fold)
     terms = sorted(words(ast))
     at = {t: f"f{i}" for i, t in enumerate(terms)}
-    flags = _flags(post, universe if matches_nothing_known(ast) else None, terms)
+    flags = _flags(post, universe, terms, matches_nothing_known(ast))
     return flags.where(_condition(ast, lambda t: F.col(at[t]))).select("doc_id")
 
 
-def search_many(post: DataFrame, universe: DataFrame, queries: list[str], stemmer: str = "query", fold: str = "ascii") -> DataFrame:
+def search_many(post: DataFrame, universe: DataFrame | None, queries: list[str], stemmer: str = "query", fold: str = "ascii") -> DataFrame:
     """``(query_no, doc_id)`` for all non-blank queries, numbered from 1, in one pass.
 
     The queries are typed by people and few; the documents are the large side.
@@ -161,9 +170,9 @@ def search_many(post: DataFrame, universe: DataFrame, queries: list[str], stemme
     asts = [parse(q, stemmer, fold) for q in live]
     terms = sorted(set().union(*map(words, asts))) if asts else []
     at = {t: f"f{i}" for i, t in enumerate(terms)}
-    flags = _flags(post, universe, terms)
+    flags = _flags(post, universe, terms, any(map(matches_nothing_known, asts)))
     hits = [F.when(_condition(a, lambda t: F.col(at[t])), F.lit(i)) for i, a in enumerate(asts, 1)]
-    arr = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+    arr = F.array_compact(F.array(*hits)) if hits else F.array()
     return flags.select(F.explode(arr.cast("array<int>")).alias("query_no"), "doc_id")
 
 

@@ -267,9 +267,7 @@ SAMPLES = {
 
 def _search(text, **k):
     def run(s, d):
-        occ = _stems(s, d)
-        post = index.postings(occ)
-        return boolq.search(post, occ.select("doc_id").distinct(), text, **k)
+        return boolq.search(_stems(s, d), None, text, **k)
 
     return run
 
@@ -282,8 +280,7 @@ for _name, _text in SAMPLES.items():
 
 @query()
 def bool_batch(s, d):
-    occ = _stems(s, d)
-    return boolq.batch_report(s, index.postings(occ), occ.select("doc_id").distinct(), query_lines(table(s, d, "query_batch")))
+    return boolq.batch_report(s, _stems(s, d), None, query_lines(table(s, d, "query_batch")))
 
 
 def _batch_sql(folder: str) -> str | None:
@@ -301,8 +298,7 @@ def _batch_sql(folder: str) -> str | None:
 
 @query(ST + f" SELECT row_number() OVER (ORDER BY h.doc_id) AS hit_no, h.doc_id, d.url FROM (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM st) u WHERE {boolq.sql_search('пилот && штраф')} ORDER BY doc_id LIMIT 50) h JOIN documents d USING (doc_id)")
 def bool_top50_display(s, d):
-    occ = _stems(s, d)
-    hits = boolq.search(index.postings(occ), occ.select("doc_id").distinct(), "пилот && штраф")
+    hits = boolq.search(_stems(s, d), None, "пилот && штраф")
     return boolq.display(hits, table(s, d, "documents").select("doc_id", "url"))
 
 
@@ -508,8 +504,7 @@ def already_stored(s, d):
 def flagship(s, d):
     """Pages to text, tokens, postings, and a boolean query joined to addresses."""
     pages = table(s, d, "articles").select(F.col("id").alias("doc_id"), "url", H.page_text(F.col("html_content"), F.col("url")).alias("text"))
-    occ = index.stems(pages, "doc_id", "text")
-    hits = boolq.search(index.postings(occ), occ.select("doc_id").distinct(), "(пилот || driver) && !дождь")
+    hits = boolq.search(index.stems(pages, "doc_id", "text"), None, "(пилот || driver) && !дождь")
     return boolq.display(hits, pages.select("doc_id", "url"))
 
 

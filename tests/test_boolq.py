@@ -31,6 +31,7 @@ def ids(df):
 @pytest.mark.parametrize("text", EDGES)
 def test_edges(post, universe, text):
     assert ids(boolq.search(post, universe, text)) == EDGES[text]
+    assert ids(boolq.search(post.union(post), None, text)) == EDGES[text]
     assert ids(boolq.search_by_sets(post, universe, text)) == EDGES[text]
 
 
