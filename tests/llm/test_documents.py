@@ -169,3 +169,32 @@ def test_hot_segments_are_read_whole(spark, monkeypatch):
     rows = [(i, 10 + i, np.array(w, np.uint16).tobytes()) for i, w in enumerate(old)] + [(99, 5000, np.array(copy, np.uint16).tobytes())]
     df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
     assert [r.id for r in history.text_copies(spark, df, 1000, "test_hot").collect()] == [99]
+
+
+@pytest.mark.parametrize("n", [80, 150])
+def test_one_shared_segment_is_enough(spark, n):
+    """All segments but one are edited; the verifier takes the copy."""
+    rng = random.Random(n)
+    old = [np.array([rng.randrange(65536) for _ in range(n)], np.uint16) for _ in range(3)]
+    _, count, size = history.CLASSES[history.class_of(n)]
+    copy = old[1].copy()
+    for k in range(count - 1):
+        copy[int(k * (n - size) / (count - 1)) + size // 2] += 1
+    assert len(np.intersect1d(history.segments(old[1]), history.probes(copy))) == 1
+    assert history.is_copy(old[1].tobytes(), copy.tobytes())
+    rows = [(i, 10 + i, w.tobytes()) for i, w in enumerate(old)] + [(99, 5000, copy.tobytes())]
+    df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
+    assert [r.id for r in history.text_copies(spark, df, 1000, f"test_one{n}").collect()] == [99]
+
+
+def test_the_bound_loses_no_copy():
+    rng = random.Random(4)
+    for _ in range(150):
+        a = np.array([rng.randrange(40) for _ in range(rng.randrange(1, 60))], np.uint16)
+        others = [np.array([rng.randrange(40) for _ in range(rng.randrange(1, 60))], np.uint16) for _ in range(5)]
+        others += [edited(rng, edited(rng, edited(rng, a))) for _ in range(5) if len(a) > 9] + [a, np.roll(a, 7)]
+        rng.shuffle(others)
+        may = history.may_copy(a, others)
+        assert all(m or not history.is_copy(a.tobytes(), b.tobytes()) for m, b in zip(may, others))
+    unlike = [np.arange(k, k + 90, dtype=np.uint16) for k in (1000, 2000)]
+    assert history.may_copy(np.arange(90, dtype=np.uint16), unlike).tolist() == [False, False]
