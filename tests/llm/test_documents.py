@@ -198,3 +198,26 @@ def test_the_bound_loses_no_copy():
         assert all(m or not history.is_copy(a.tobytes(), b.tobytes()) for m, b in zip(may, others))
     unlike = [np.arange(k, k + 90, dtype=np.uint16) for k in (1000, 2000)]
     assert history.may_copy(np.arange(90, dtype=np.uint16), unlike).tolist() == [False, False]
+
+
+@pytest.mark.parametrize("n, at", [(6, [5]), (12, [3, 8]), (20, [3, 9, 16]), (31, [3, 14, 28])])
+def test_edited_copies_of_short_stories(spark, n, at):
+    rng = random.Random(n)
+    old = [np.array([rng.randrange(65536) for _ in range(n)], np.uint16) for _ in range(3)]
+    copy = old[1].copy()
+    copy[at] += 1
+    rows = [(i, 10 + i, w.tobytes()) for i, w in enumerate(old)] + [(99, 5000, copy.tobytes())]
+    df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
+    assert [r.id for r in history.text_copies(spark, df, 1000, f"test_short{n}").collect()] == [99]
+
+
+def test_short_stories_are_searched_exactly():
+    rng = random.Random(6)
+    seen = 0
+    for _ in range(4000):
+        a = np.array([rng.randrange(12) for _ in range(rng.randrange(1, history.SHORT))], np.uint16)
+        b = np.array(([rng.randrange(12) for _ in range(rng.randrange(4))] + a.tolist()[rng.randrange(3) :])[: rng.randrange(1, 80)] + [rng.randrange(12) for _ in range(rng.randrange(30))], np.uint16)
+        if history.is_copy(b.tobytes(), a.tobytes()) and not np.array_equal(a, b):
+            seen += 1
+            assert len(np.intersect1d(history.segments(a), history.probes(b)))
+    assert seen > 200
