@@ -1,11 +1,12 @@
 """Problem 9: mixing sources to target shares of the total tokens.
 
-A text may stand in several sources (exact repeats), so sources overlap.  Texts
-are aggregated by membership pattern, the set of target sources that hold them;
+A text may stand in several sources (exact repeats), so sources overlap.  Rows
+are aggregated by their text's membership pattern, the set of target sources that
+hold it; every row of a repeated text counts, towards the quotas as in the patterns;
 a min-cost flow routes the patterns' token capacity to the sources' quotas, the
 k-th use of a pattern costing k - 1, so that repetition is spread and used last.
-Within a pattern the texts lie on a circle in seeded hash order, and each
-source's flow is an arc: a text is used as often as the arcs cover its start.
+Within a pattern the rows lie on a circle in seeded hash order, and each
+source's flow is an arc: a row is used as often as the arcs cover its start.
 
 The flow's graph has the patterns that occur and the sources of the target
 table, both few; all sums over documents are distributed.
@@ -112,18 +113,20 @@ def targets(rows) -> tuple[dict[str, float], dict[str, int]]:
     return {s: v / total for s, v in share.items()}, cap
 
 
-def _units(spark: SparkSession, docs: DataFrame, wanted: list[str], path: str, name: str) -> DataFrame:
-    """(text_key, pattern, n_tokens, doc_id): one row per distinct text of the target sources.
+def _units(spark: SparkSession, docs: DataFrame, wanted: list[str], path: str, name: str) -> tuple[DataFrame, int]:
+    """``(units, total)``: (k, pattern, n_tokens, doc_id), one per row of the target sources; the tokens of all rows.
 
-    A text stands for its rows by its least doc_id; texts without tokens are left out.
+    Rows without tokens are left out.
     """
     key = F.xxhash64("text", F.lit(1))
     rows = docs.select("doc_id", "source", "text").where("text IS NOT NULL AND text <> ''")
     counted = tokenizer.count(rows.select(F.struct("doc_id", "source", key.alias("k")).alias("r"), "text"), path, "r", "text")
-    flat = counted.select("r.doc_id", "r.source", "r.k", "n_tokens")
-    mine = F.when(F.col("source").isin(wanted), F.col("source"))
-    units = flat.groupBy("k").agg(F.sort_array(F.collect_set(mine)).alias("pattern"), F.max("n_tokens").alias("n_tokens"), F.min(F.when(mine.isNotNull(), F.col("doc_id"))).alias("doc_id"), F.sum("n_tokens").alias("all_tokens"))
-    return stored(spark, units, name)
+    flat = stored(spark, counted.select("r.doc_id", "r.source", "r.k", "n_tokens"), f"{name}_rows")
+    total = flat.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    mine = flat.where(F.col("source").isin(wanted))
+    shared = mine.groupBy("k").agg(F.sort_array(F.collect_set("source")).alias("several")).where(F.size("several") > 1)
+    pattern = F.coalesce("several", F.array("source")).alias("pattern")
+    return stored(spark, mine.join(shared, "k", "left").select("k", pattern, "n_tokens", "doc_id"), name), total
 
 
 def mix(spark: SparkSession, docs: DataFrame, target: DataFrame, path: str = tokenizer.RANKS, seed: int = SEED, name: str = "p9") -> tuple[DataFrame, DataFrame]:
@@ -135,9 +138,8 @@ def mix(spark: SparkSession, docs: DataFrame, target: DataFrame, path: str = tok
     be met has a smaller share of that total; actual_share is of what was mixed.  Null and empty texts have no tokens and are never taken.
     """
     share, cap = targets(sorted(target.select("source", "target_share", "max_repeats").collect(), key=lambda r: (str(r["source"]), str(r["target_share"]), str(r["max_repeats"]))))
-    units = _units(spark, docs, sorted(share), path, f"{name}_units")
-    total = units.agg(F.coalesce(F.sum("all_tokens"), F.lit(0)).alias("n")).first()["n"]
-    capacity = {tuple(r["pattern"]): r["n"] for r in units.where(F.size("pattern") > 0).groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
+    units, total = _units(spark, docs, sorted(share), path, f"{name}_units")
+    capacity = {tuple(r["pattern"]): r["n"] for r in units.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
     quota = {s: round(v * total) for s, v in share.items()}
     flow = solve(capacity, quota, cap)
     # Arcs of every pattern's circle, one after another: (start, length) per source.
@@ -148,8 +150,8 @@ def mix(spark: SparkSession, docs: DataFrame, target: DataFrame, path: str = tok
         ends[p] = start + f
     arc = spark.createDataFrame(arcs, "pattern ARRAY<STRING>, source STRING, start BIGINT, length BIGINT, round BIGINT")
     # Positions on the circle: sums before the bucket, then within it.
-    h = F.xxhash64("k", F.lit(seed))
-    live = units.where(F.size("pattern") > 0).withColumn("h", h).withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)))
+    h = F.xxhash64("k", "doc_id", F.lit(seed))
+    live = units.withColumn("h", h).withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)))
     sums = live.groupBy("pattern", "b").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("pattern", "b", F.coalesce(F.sum("n").over(W.partitionBy("pattern").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("pattern", "b").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -76,6 +76,21 @@ def test_mix(spark):
     assert mixing.mix(spark, docs.where("false"), target, name="test_mix3")[0].count() == 0
 
 
+def test_repeated_rows_fill_their_source(spark):
+    """Half of the rows repeat one text; each may be used, whether or not another source holds the text."""
+    rng = random.Random(8)
+    other = [(i, " ".join(rng.choice("red fast car lap wing".split()) for _ in range(30)), "b", 1) for i in range(300)]
+    for k, more in enumerate(([], [(900, "one and the same text " * 6, "b", 1)])):
+        rows = other + [(1000 + i, "one and the same text " * 6, "a", 1) for i in range(300)] + more
+        docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING, n_tokens INT")
+        target = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 1), ("zz", 0.2, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+        chosen, report = mixing.mix(spark, docs, target, name=f"test_rows{k}")
+        c = chosen.collect()
+        assert len({x.doc_id for x in c}) == len(c) and {x.repeats for x in c} == {1}
+        for x in report.collect():
+            assert x.source == "zz" or abs(x.tokens - x.quota) <= 0.02 * x.quota
+
+
 EASY = "Папа ест суп дома. Мой друг ведёт счёт. Гость пьёт воду. Кот спит тут. Дед моет окно. Брат ждёт старт. "
 HARD = "Нестационарное отделение пограничного слоя компенсирует систематическую погрешность телеметрии, тогда как гистерезисная деформация протектора ограничивает допустимую вариативность конфигураций. "
 MID = "В пятницу пилот Анна Белова проверила карту торможений в закрытом парке, и трибуны встали. "
