@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
+from collections.abc import Iterable
 
 #: Characters that the regex engine takes for word characters and that are no letters.
 _NUMERIC = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
@@ -50,16 +50,16 @@ class LastSeen:
         self.of: dict[str, list[int]] = {}
         self.record = 0
 
-    def add(self, found: list[str]) -> None:
-        """Count one record's terms, repeats within the record having been pre-added."""
+    def add(self, found: Iterable[str]) -> None:
+        """Count one record's terms as they come; they are read once and not kept."""
         self.record += 1
         now, of = self.record, self.of
-        for t, n in Counter(found).items():
+        for t in found:
             c = of.get(t)
             if c is None:
-                of[t] = [n, 1, now]
+                of[t] = [1, 1, now]
             else:
-                c[0] += n
+                c[0] += 1
                 if c[2] != now:
                     c[1] += 1
                     c[2] = now

@@ -226,3 +226,18 @@ def test_empty_table(spark):
 def test_clean_of_source():
     assert clean("a\x85b\xa0 c&nbsp;") == "a b c"
     assert terms.terms(["İx", "a1b"]) == ["i̇x", "a", "b"]
+
+
+def test_last_seen_counters_keep_no_record_sets():
+    """Every term is counted as it comes, with the record it was last seen in."""
+    counter, seen = terms.LastSeen(), []
+
+    def tokens(record):
+        for t in record.split():
+            yield t
+            seen.append(list(counter.of.get(t, ())))
+
+    for record in ("a b a", "b b", "", "a"):
+        counter.add(tokens(record))
+    assert seen == [[1, 1, 1], [1, 1, 1], [2, 1, 1], [2, 2, 2], [3, 2, 2], [3, 2, 4]]
+    assert sorted(zip(*counter.drain())) == [("a", 3, 2), ("b", 3, 2)]
