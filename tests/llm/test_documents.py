@@ -236,3 +236,31 @@ def test_short_stories_are_searched_exactly():
             seen += 1
             assert len(np.intersect1d(history.segments(a), history.probes(b)))
     assert seen > 200
+
+
+def test_batches_on_a_kept_index_equal_one_run(spark, monkeypatch, tmp_path):
+    """History is written once, each batch probed and appended."""
+    monkeypatch.setattr(history, "FIRST", 2)
+    rng = random.Random(12)
+    fresh = lambda n: [rng.randrange(65536) for _ in range(n)]
+    head = fresh(20)
+    days = [[head + fresh(130) for _ in range(6)] + [fresh(n) for n in (6, 12, 40, 90, 300)]]
+    for _ in range(2):
+        earlier = [w for day in days for w in day]
+        today = [fresh(n) for n in (7, 50, 120)] + [earlier[3]] + [edited(rng, w).tolist() for w in earlier[5:]]
+        days.append(today + [edited(rng, today[2]).tolist()])
+    rows, n = [], 0
+    for d, day in enumerate(days):
+        for k, w in enumerate(day):
+            rows.append((n, 1000 * d + k, np.array(w, np.uint16).tobytes()))
+            n += 1
+    df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
+    whole = {r.id for r in history.text_copies(spark, df, 1000, "test_whole").collect()}
+    folder, got = str(tmp_path / "index"), set()
+    history.append(spark, df.where("t < 1000"), folder)
+    for d in (1, 2):
+        batch = df.where(f"t >= {1000 * d} AND t < {1000 * (d + 1)}")
+        got |= {r.id for r in history.text_copies(spark, batch, 1000 * d, f"test_day{d}", folder).collect()}
+        history.append(spark, batch, folder)
+    assert got == whole and len(whole) > 20
+    assert not {i for i, t, _ in rows if t % 1000 < 3 and t >= 1000} & whole
