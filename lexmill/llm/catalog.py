@@ -90,6 +90,12 @@ def p7_found(s, d):
     return pages.garbled_blocks(s, table(s, d, "articles"), _sample(s, d)).select("id", "fixed_md5").distinct()
 
 
+@query
+def p7_text(s, d):
+    """Every record with its garbled blocks restored."""
+    return pages.restored_records(s, table(s, d, "articles"), _sample(s, d))
+
+
 @query
 def p8_ids(s, d):
     """Ids of every document."""

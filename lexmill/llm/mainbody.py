@@ -98,6 +98,24 @@ class _Buckets(dict):
 
 
 _WORDS, _PATHS = _Buckets(WORD_BUCKETS), _Buckets(PATH_BUCKETS)
+
+
+def _bare(token: str) -> str:
+    w = _DIGITS.sub("9", token)
+    return w.strip(_EDGE) or (w if w[0] in _SIGNS else "")
+
+
+class _Tokens(dict):
+    """Bucket of a token's bare form, remembered within a bound."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        v = self[token] = _WORDS[_bare(token)]
+        return v
+
+
+_bucket = _Tokens().__getitem__
 _path_memory: dict[tuple, np.ndarray] = {}
 
 
@@ -142,15 +160,16 @@ def encode(pages: list[list[tuple[str, tuple[str, ...]]]]) -> Sequences:
     ids, starts, dense = [], [], []
     get = _WORDS.__getitem__
     for text in texts:
-        low = _DIGITS.sub("9", text.lower())
+        low = text.lower()
         if _MAY_MARK.search(low):
             low = _MARK.sub(r" \1 ", low)
-        words = [w.strip(_EDGE) or (w if w[0] in _SIGNS else "") for w in low.split()]
+        words = low.split()
         starts.append(len(ids))
-        ids.extend(map(get, words))
-        ids.append(get("^" + words[0]) if words else 0)
-        ids.append(get("^^" + " ".join(words[:2])))
-        ids.append(get("$" + words[-1]) if words else 0)
+        ids.extend(map(_bucket, words))
+        first = [_bare(w) for w in words[:2]]
+        ids.append(get("^" + first[0]) if words else 0)
+        ids.append(get("^^" + " ".join(first)))
+        ids.append(get("$" + _bare(words[-1])) if words else 0)
         dense.append(_dense(text, len(words)))
     p = [_path_ids(x) for x in paths]
     return Sequences(

@@ -127,7 +127,7 @@ _CODE = (
 )
 _FORMULA = (
     ("wiki", re.compile(r"<math\b[^>]*>.*?(?:</math>|\Z)", re.S | re.I)),
-    ("latex", re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray)\*?\}.*?(?:\\end\{\1\*?\}|\Z)|\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={])[^$\n]{1,200}?(?<=[^\s\\$])\$(?![\w$])", re.S)),
+    ("latex", re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray)\*?\}.*?(?:\\end\{\1\*?\}|\Z)|\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={])[^$\n]+(?<=[^\s\\$])\$(?![\w$])", re.S)),
 )
 _REST = (
     ("html", "heading", re.compile(r"<h[1-6]\b[^>]*>", re.I)),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmill.llm import tokenizer
-from lexmill.llm.store import stored
+from lexmill.store import stored
 
 SEED = 20_251
 #: Buckets of the seeded hash within a pattern: positions are summed by bucket first.
