@@ -109,10 +109,6 @@ def test_reading_levels(spark):
     assert {r.level for r in reading.levels(spark, docs, labels.where("false")).collect()} == {None}
 
 
-def words(text):
-    return np.array([history._hash_word(w) for w in history._words(text)], np.uint16)
-
-
 def edited(rng, w):
     w = list(w)
     for _ in range(max(1, len(w) // 40)):
@@ -130,17 +126,69 @@ def test_segments_find_edited_copies(n):
     for _ in range(20):
         a = np.array([rng.randrange(65536) for _ in range(n)], np.uint16)
         b = edited(rng, a)
-        assert len(np.intersect1d(history.segments(a), history.probes(b)))
-        assert history.is_copy(a.tobytes(), b.tobytes())
+        assert shared(a, b)
+        assert history.is_copy(a, b)
         c = np.array([rng.randrange(65536) for _ in range(n)], np.uint16)
-        assert not history.is_copy(a.tobytes(), c.tobytes())
+        assert not history.is_copy(a, c)
+
+
+def shared(a, b):
+    """Whether a substring of ``b`` is a segment of ``a``, at a place that the bound allows."""
+    (k, at), (p, q) = history.segments(a), history.probes(b)
+    most = int(history.EDITS * max(len(a), len(b)))
+    return any(x == y and abs(int(i) - int(j)) <= most for x, i in zip(k, at) for y, j in zip(p[p == x], q[p == x]))
+
+
+def test_edits_fewer_than_segments_are_certain():
+    """One edit in each segment but one still leaves a shared segment; classes are met by copies of any allowed length."""
+    rng = random.Random(2)
+    for n in (*range(32, 140, 5), 500, 1100, 4100):
+        a = np.array([rng.randrange(65536) for _ in range(n)], np.uint16)
+        (_, at), size = history.segments(a), history.class_of(n)[1]
+        assert len(at) == history.class_of(n)[0] and (np.diff(at) >= size).all() and at[0] == 0 and at[-1] == n - size
+        b = a.copy()
+        spared = rng.randrange(len(at))
+        for k, x in enumerate(at):
+            if k != spared:
+                b[x + size // 2] += 1
+        assert shared(a, b)
+        for m in (n - int(history.EDITS * n), n, int(n / (1 - history.EDITS))):
+            sizes = {len(history.windows(np.arange(m, dtype=np.uint16), s)) for s in (history.RUN, *(s for _, s in history.SIZES))}
+            assert m - size + 1 in sizes and np.isin(history.windows(np.arange(m, dtype=np.uint16), size), history.probes(np.arange(m, dtype=np.uint16))[0]).all()
+
+
+def test_distance_is_levenshtein():
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        if rng.random() < 0.4:
+            b = a[: len(a) // 2] + b[:5] + a[len(a) // 2 + 2 :]
+        x, y, want = np.array(a, np.uint16), np.array(b, np.uint16), brute(a, b)
+        assert history.distance(x, y, 200) == history.distance(y, x, 200) == want
+        for most in (want - 1, want, want // 2):
+            assert (history.distance(x, y, most) <= most) == (want <= most)
 
 
-def test_moved_blocks_are_common():
+def test_words_apart_are_the_same_both_ways():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(30)] for _ in range(2))
+        runs = lambda x: {tuple(x[i : i + 3]) for i in range(len(x) - 2)}
+        both = runs(a) & runs(b)
+        out = lambda x: sum(not any(tuple(x[j : j + 3]) in both for j in range(max(0, i - 2), i + 1)) for i in range(len(x)))
+        x, y = np.array(a, np.uint16), np.array(b, np.uint16)
+        assert history.apart(x, y) == history.apart(y, x) == out(a) + out(b)
     a = np.arange(200, dtype=np.uint16)
-    assert history.edits(a, np.roll(a, 60), 400) == 0
-    assert history.edits(a, a[:150], 400) == 50
-    assert history.edits(a, a[::-1].copy(), 10) == 11
+    assert history.apart(a, np.roll(a, 60)) == 0 and history.is_copy(a, np.roll(a, 40))
+    assert history.apart(a, a[:150]) == 50 and not history.is_copy(a, a[::-1].copy())
 
 
 def page(text):
@@ -172,6 +220,11 @@ def test_duplicates(spark):
     assert history.duplicates(spark, a.where("false"), hashes, s, start, "test_p3e").count() == 0
 
 
+def story_rows(spark, rows):
+    df = spark.createDataFrame([(i, t, len(w), np.array(w, np.uint16).tobytes()) for i, t, w in rows], "id BIGINT, t BIGINT, n INT, words BINARY")
+    return df.selectExpr("id", "t", "xxhash64(words) AS story", "n", "words")
+
+
 def test_hot_segments_are_read_whole(spark, monkeypatch):
     """More stories than the first round reads share a segment; the one copy comes last."""
     monkeypatch.setattr(history, "FIRST", 2)
@@ -181,8 +234,7 @@ def test_hot_segments_are_read_whole(spark, monkeypatch):
     old = [body() for _ in range(12)]
     copy = list(old[-1])
     copy[70] = 1
-    rows = [(i, 10 + i, np.array(w, np.uint16).tobytes()) for i, w in enumerate(old)] + [(99, 5000, np.array(copy, np.uint16).tobytes())]
-    df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
+    df = story_rows(spark, [(i, 10 + i, w) for i, w in enumerate(old)] + [(99, 5000, copy)])
     assert [r.id for r in history.text_copies(spark, df, 1000, "test_hot").collect()] == [99]
 
 
@@ -191,14 +243,12 @@ def test_one_shared_segment_is_enough(spark, n):
     """All segments but one are edited; the verifier takes the copy."""
     rng = random.Random(n)
     old = [np.array([rng.randrange(65536) for _ in range(n)], np.uint16) for _ in range(3)]
-    _, count, size = history.CLASSES[history.class_of(n)]
+    size = history.class_of(n)[1]
     copy = old[1].copy()
-    for k in range(count - 1):
-        copy[int(k * (n - size) / (count - 1)) + size // 2] += 1
-    assert len(np.intersect1d(history.segments(old[1]), history.probes(copy))) == 1
-    assert history.is_copy(old[1].tobytes(), copy.tobytes())
-    rows = [(i, 10 + i, w.tobytes()) for i, w in enumerate(old)] + [(99, 5000, copy.tobytes())]
-    df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
+    copy[history.segments(old[1])[1][:-1] + size // 2] += 1
+    assert len(np.intersect1d(history.segments(old[1])[0], history.probes(copy)[0])) == 1
+    assert history.is_copy(old[1], copy)
+    df = story_rows(spark, [(i, 10 + i, w) for i, w in enumerate(old)] + [(99, 5000, copy)])
     assert [r.id for r in history.text_copies(spark, df, 1000, f"test_one{n}").collect()] == [99]
 
 
@@ -210,7 +260,7 @@ def test_the_bound_loses_no_copy():
         others += [edited(rng, edited(rng, edited(rng, a))) for _ in range(5) if len(a) > 9] + [a, np.roll(a, 7)]
         rng.shuffle(others)
         may = history.may_copy(a, others)
-        assert all(m or not history.is_copy(a.tobytes(), b.tobytes()) for m, b in zip(may, others))
+        assert all(m or not history.is_copy(a, b) for m, b in zip(may, others))
     unlike = [np.arange(k, k + 90, dtype=np.uint16) for k in (1000, 2000)]
     assert history.may_copy(np.arange(90, dtype=np.uint16), unlike).tolist() == [False, False]
 
@@ -221,8 +271,7 @@ def test_edited_copies_of_short_stories(spark, n, at):
     old = [np.array([rng.randrange(65536) for _ in range(n)], np.uint16) for _ in range(3)]
     copy = old[1].copy()
     copy[at] += 1
-    rows = [(i, 10 + i, w.tobytes()) for i, w in enumerate(old)] + [(99, 5000, copy.tobytes())]
-    df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
+    df = story_rows(spark, [(i, 10 + i, w) for i, w in enumerate(old)] + [(99, 5000, copy)])
     assert [r.id for r in history.text_copies(spark, df, 1000, f"test_short{n}").collect()] == [99]
 
 
@@ -232,9 +281,9 @@ def test_short_stories_are_searched_exactly():
     for _ in range(4000):
         a = np.array([rng.randrange(12) for _ in range(rng.randrange(1, history.SHORT))], np.uint16)
         b = np.array(([rng.randrange(12) for _ in range(rng.randrange(4))] + a.tolist()[rng.randrange(3) :])[: rng.randrange(1, 80)] + [rng.randrange(12) for _ in range(rng.randrange(30))], np.uint16)
-        if history.is_copy(b.tobytes(), a.tobytes()) and not np.array_equal(a, b):
+        if history.is_copy(b, a) and not np.array_equal(a, b):
             seen += 1
-            assert len(np.intersect1d(history.segments(a), history.probes(b)))
+            assert len(np.intersect1d(history.segments(a)[0], history.probes(b)[0]))
     assert seen > 200
 
 
@@ -252,9 +301,9 @@ def test_batches_on_a_kept_index_equal_one_run(spark, monkeypatch, tmp_path):
     rows, n = [], 0
     for d, day in enumerate(days):
         for k, w in enumerate(day):
-            rows.append((n, 1000 * d + k, np.array(w, np.uint16).tobytes()))
+            rows.append((n, 1000 * d + k, w))
             n += 1
-    df = spark.createDataFrame(rows, "id BIGINT, t BIGINT, words BINARY").selectExpr("id", "t", "xxhash64(words) AS story", "words")
+    df = story_rows(spark, rows)
     whole = {r.id for r in history.text_copies(spark, df, 1000, "test_whole").collect()}
     folder, got = str(tmp_path / "index"), set()
     history.append(spark, df.where("t < 1000"), folder)
