@@ -77,6 +77,35 @@ def test_bitmaps():
         assert lines.unpack(a).tolist() == x.tolist() and lines.cardinality(a) == len(x)
         u = lines.unite([a, b, a])
         assert lines.unpack(u).tolist() == np.union1d(x, y).tolist() and lines.cardinality(u) == len(np.union1d(x, y))
+        assert [lines.contains(u, k) for k in range(0, 65536, 97)] == np.isin(np.arange(0, 65536, 97), np.union1d(x, y)).tolist()
+
+
+def test_occurrences_are_packed_like_single_bitmaps():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    held, want = lines.Occurrences(), {}
+    for _ in range(40):
+        rows = []
+        for _ in range(500):
+            i, source = int(rng.integers(0, 200_000)), f"s{rng.integers(0, 3)}"
+            keys = {lines.line_key(f"l{k}") for k in rng.integers(0, 4, 3)}
+            rows.append((i, source, keys))
+            for k in keys:
+                want.setdefault((source, k, i >> 16), set()).add(i & 0xFFFF)
+        held.add(rows)
+    names, source, keys, span, bits = held.drain()
+    got = {(names[a], k, h): set(lines.unpack(b).tolist()) for a, k, h, b in zip(source.tolist(), keys, span.tolist(), bits)}
+    assert got == want and len(got) == len(keys) and held.size == 0 and held.drain()[2] == []
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_lines_are_deleted_by_either_way(spark, monkeypatch, most):
+    """Bitmaps looked up in place and bitmaps joined by span give the same text; ids span containers."""
+    monkeypatch.setattr(pages, "LOOKED_UP", most)
+    rows = [(i * 9_000, f"<p>Share it</p><p>own {'q' * i}</p><p>42</p>", "st"[i % 2]) for i in range(24)] + [(7, None, "s"), (None, "<p>Share it</p>", "s"), (8, "<p>Share it</p>", None), (9, "<p>Share it</p>", "u")]
+    got = {r.id: r.text for r in pages.without_lines(articles(spark, rows)).collect()}
+    assert got == {i * 9_000: f"own {'q' * i}".strip() + "\n42" if i else "own\n42" for i in range(24)} | {7: "", None: "Share it", 8: "Share it", 9: "Share it"}
 
 
 def corpus():
