@@ -5,8 +5,9 @@ are aggregated by their text's membership pattern, the set of target sources tha
 hold it; every row of a repeated text counts, towards the quotas as in the patterns;
 a min-cost flow routes the patterns' token capacity to the sources' quotas, the
 k-th use of a pattern costing k - 1, so that repetition is spread and used last.
-Within a pattern the rows lie on a circle in seeded hash order, and each
-source's flow is an arc: a row is used as often as the arcs cover its start.
+Within a pattern the rows lie on a circle in seeded hash order, those of one source
+beside each other, and each source's flow is an arc: a row is used as often as the arcs
+cover its start.  A row that is taken tells all target sources that hold its text.
 
 The flow's graph has the patterns that occur and the sources of the target
 table, both few; all sums over documents are distributed.
@@ -87,7 +88,9 @@ def solve(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats:
     f = _Flow(end + 1)
     routed = {}
     for i, p in enumerate(patterns, 1):
-        for k in range(max((repeats[s] for s in p), default=0)):
+        # No pattern is asked for more rounds than its sources' quotas fill.
+        rounds = min(max((repeats[s] for s in p), default=0), -(-sum(quota[s] for s in p) // capacity[p]))
+        for k in range(rounds):
             f.arc(0, i, capacity[p], k)
         for s in p:
             routed[p, s] = f.arc(i, at[s], capacity[p] * repeats[s], 0)
@@ -114,7 +117,7 @@ def targets(rows) -> tuple[dict[str, float], dict[str, int]]:
 
 
 def _units(spark: SparkSession, docs: DataFrame, wanted: list[str], path: str, name: str) -> tuple[DataFrame, int]:
-    """``(units, total)``: (k, pattern, n_tokens, doc_id), one per row of the target sources; the tokens of all rows.
+    """``(units, total)``: (k, pattern, home, n_tokens, doc_id), one per row of the target sources; the tokens of all rows.
 
     Rows without tokens are left out.
     """
@@ -126,13 +129,15 @@ def _units(spark: SparkSession, docs: DataFrame, wanted: list[str], path: str, n
     mine = flat.where(F.col("source").isin(wanted))
     shared = mine.groupBy("k").agg(F.sort_array(F.collect_set("source")).alias("several")).where(F.size("several") > 1)
     pattern = F.coalesce("several", F.array("source")).alias("pattern")
-    return stored(spark, mine.join(shared, "k", "left").select("k", pattern, "n_tokens", "doc_id"), name), total
+    return stored(spark, mine.join(shared, "k", "left").select("k", pattern, F.col("source").alias("home"), "n_tokens", "doc_id"), name), total
 
 
 def mix(spark: SparkSession, docs: DataFrame, target: DataFrame, path: str = tokenizer.RANKS, seed: int = SEED, name: str = "p9") -> tuple[DataFrame, DataFrame]:
     """``(chosen, report)``.
 
-    chosen (doc_id, source, n_tokens, repeats): documents taken for a source and how often.
+    chosen (doc_id, source, home, members, n_tokens, repeats): documents taken for a
+    source and how often; home is the row's own source, members are all target sources
+    that hold its text, ``source`` among them.
     report (source, target_share, available, quota, tokens, share_of_quota_total,
     actual_share): the quotas add up to the tokens of all texts, and a source that can't
     be met has a smaller share of that total; actual_share is of what was mixed.  Null and empty texts have no tokens and are never taken.
@@ -152,13 +157,13 @@ def mix(spark: SparkSession, docs: DataFrame, target: DataFrame, path: str = tok
     # Positions on the circle: sums before the bucket, then within it.
     h = F.xxhash64("k", "doc_id", F.lit(seed))
     live = units.withColumn("h", h).withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)))
-    sums = live.groupBy("pattern", "b").agg(F.sum("n_tokens").alias("n"))
-    before = sums.select("pattern", "b", F.coalesce(F.sum("n").over(W.partitionBy("pattern").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("pattern", "b").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = live.withColumn("w", within).join(before, ["pattern", "b"]).withColumn("x", F.col("before") + F.col("w"))
+    sums = live.groupBy("pattern", "home", "b").agg(F.sum("n_tokens").alias("n"))
+    before = sums.select("pattern", "home", "b", F.coalesce(F.sum("n").over(W.partitionBy("pattern").orderBy("home", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("pattern", "home", "b").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = live.withColumn("w", within).join(before, ["pattern", "home", "b"]).withColumn("x", F.col("before") + F.col("w"))
     # Uses: whole rounds k with start <= x + k * round < start + length.
     uses = F.ceil((F.col("start") + F.col("length") - F.col("x")) / F.col("round")) - F.ceil((F.col("start") - F.col("x")) / F.col("round"))
-    chosen = placed.join(arc, "pattern").withColumn("repeats", uses.cast("int")).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+    chosen = placed.join(arc, "pattern").withColumn("repeats", uses.cast("int")).where("repeats > 0").select("doc_id", "source", "home", F.col("pattern").alias("members"), "n_tokens", "repeats")
     available = {s: sum(c for p, c in capacity.items() if s in p) for s in share}
     lines = spark.createDataFrame([(s, share[s], int(available[s]), int(quota[s])) for s in sorted(share)], "source STRING, target_share DOUBLE, available BIGINT, quota BIGINT")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))

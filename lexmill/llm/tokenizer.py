@@ -3,8 +3,8 @@
 A text is split by the tokenizer's pattern; the distinct words that a task has
 not met yet are encoded together: the symbols of all of them lie in one flat
 array, pairs are ranked by binary search over the sorted keys of all mergeable
-pairs, and each round merges every word's leftmost pair of lowest rank.  Strings
-of special tokens are ordinary text.
+pairs, and each round merges every word's pair of lowest rank.  Strings of special
+tokens are ordinary text.
 
 Null and empty texts have the empty list of ids; ids are those of the rank file.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,40 +61,66 @@ class Encoder:
         return np.where(self.keys[at] == want, self.merged[at], _NONE)
 
     def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words, all merged together."""
+        """Ids of words, all merged together.
+
+        A round merges, in every word, the pair of lowest rank wherever it stands, from
+        the left, as far as no pair that this makes ranks lower still (that one is the
+        next round's).  So the rounds of a word are as many as the kinds of pairs that
+        are merged in it, and a very long word takes no round per symbol.
+        """
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list = [np.zeros(0, np.int32)] * len(words)
+        live = np.flatnonzero(np.fromiter(map(len, raw), np.int64, len(raw)))
         flat = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        out: list = [None] * len(words)
-        live = np.arange(len(words))
+        sizes = np.array([len(raw[i]) for i in live.tolist()], np.int64)
+        ends = np.cumsum(sizes)
+        # Rank of the pair that begins at each symbol; a word's last symbol begins none.
+        rank = np.full(len(flat), _NONE)
+        rank[:-1] = self._rank(flat[:-1], flat[1:])
+        rank[ends - 1] = _NONE
         while len(live):
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            # Rank of the pair that begins at each symbol; a word's last symbol begins none.
-            rank = np.full(len(flat), _NONE)
-            if len(flat) > 1:
-                rank[:-1] = self._rank(flat[:-1], flat[1:])
-            rank[starts + sizes - 1] = _NONE
+            starts = ends - sizes
             best = np.minimum.reduceat(rank, starts)
             done = best == _NONE
             if done.any():
-                ends = starts + sizes
                 for i in np.flatnonzero(done).tolist():
                     out[live[i]] = flat[starts[i] : ends[i]].astype(np.int32)
                 keep = np.repeat(~done, sizes)
                 flat, rank = flat[keep], rank[keep]
                 live, sizes, best = live[~done], sizes[~done], best[~done]
+                ends = np.cumsum(sizes)
                 if not len(live):
                     break
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            # The leftmost symbol of each word whose pair has the word's lowest rank.
             hit = np.flatnonzero(rank == np.repeat(best, sizes))
-            word = np.searchsorted(starts, hit, side="right") - 1
-            first = hit[np.concatenate([[True], word[1:] != word[:-1]])]
-            flat[first] = best
+            # In a run of pairs that overlap every second one is merged.
+            follows = np.concatenate([[False], np.diff(hit) == 1])
+            lead = np.maximum.accumulate(np.where(follows, 0, np.arange(len(hit))))
+            hit = hit[(np.arange(len(hit)) - lead) % 2 == 0]
+            word = np.searchsorted(ends, hit, side="right")
+            made = best[word]
+            # Pairs made with the neighbours: the left one may be merged itself by then, the right one is not yet.
+            first, last = hit == (ends - sizes)[word], hit + 2 >= ends[word]
+            left = np.where(np.concatenate([[False], hit[1:] - hit[:-1] == 2]) & ~first, made, flat[np.maximum(hit - 1, 0)])
+            lower = (~last & (self._rank(made, flat[np.minimum(hit + 2, len(flat) - 1)]) < made)) | (~first & (self._rank(left, made) < made))
+            if lower.any():
+                # Up to and with the first such merge of a word; what follows waits.
+                before = np.cumsum(lower) - lower
+                opens = np.concatenate([[True], word[1:] != word[:-1]])
+                base = before[np.maximum.accumulate(np.where(opens, np.arange(len(hit)), 0))]
+                ok = before == base
+                hit, word, made = hit[ok], word[ok], made[ok]
+            flat[hit] = made
             keep = np.ones(len(flat), bool)
-            keep[first + 1] = False
-            flat = flat[keep]
-            sizes = sizes - 1
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))  # places of the merged symbols in what is kept
+            flat, rank = flat[keep], rank[keep]
+            sizes = sizes - np.bincount(word, minlength=len(sizes))
+            ends = np.cumsum(sizes)
+            touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            rank[touched] = _NONE
+            touched = touched[touched + 1 < len(flat)]
+            rank[touched] = self._rank(flat[touched], flat[touched + 1])
+            rank[ends - 1] = _NONE
         return out
 
     def _look_up(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -135,6 +162,12 @@ class Encoder:
         return np.diff(ends, prepend=0)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker and rank file; a worker serves many tasks."""
+    return Encoder(path)
+
+
 #: Characters of one step: bounds the working arrays whatever the texts' lengths.
 STEP_CHARS = 2_000_000
 
@@ -154,7 +187,7 @@ def encode(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col:
     """(doc_id, ids): ids of every document, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in _steps(texts):
@@ -169,7 +202,7 @@ def count(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col:
     """(doc_id, n_tokens): only the numbers of ids leave the workers; ``id_col`` may be of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in _steps(texts):

@@ -37,6 +37,13 @@ def test_encode_rows(spark, reference):
     assert tokenizer.encode(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeinrst", "приветмао"])
+def test_long_words_are_merged_in_few_rounds(encoder, reference, letters):
+    rng = random.Random(7)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 3, 50, 999, 20_000)] + [letters[0] * n for n in (5, 6, 7, 5_000)]
+    assert [w.tolist() for w in encoder.words(words)] == [reference.encode_ordinary(w) for w in words]
+
+
 def test_flow_prefers_few_repeats():
     cap = {("a",): 100, ("a", "b"): 100, ("b",): 10}
     flow = mixing.solve(cap, {"a": 150, "b": 60}, {"a": 2, "b": 3})
@@ -46,6 +53,7 @@ def test_flow_prefers_few_repeats():
     short = mixing.solve({("a",): 10}, {"a": 100, "b": 5}, {"a": 3, "b": 9})
     assert short == {(("a",), "a"): 30}
     assert mixing.solve({}, {}, {}) == {}
+    assert mixing.solve({("a",): 10}, {"a": 35}, {"a": 10**9}) == {(("a",), "a"): 35}
 
 
 def test_targets():
@@ -71,6 +79,9 @@ def test_mix(spark):
     for s in "ab":
         assert abs(r[s].tokens - r[s].quota) <= 0.02 * r[s].quota
     assert r["zz"].tokens == 0 and abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9
+    held = {t: sorted(v & {"a", "b", "c"}) for t, v in ((t, {s for _, u, s, _ in rows if u == t and s}) for t in set(text.values()) if t)}
+    own = {i: s for i, _, s, _ in rows}
+    assert all(x.home == own[x.doc_id] and x.members == held[text[x.doc_id]] and x.source in x.members for x in c)
     again = mixing.mix(spark, docs, target, name="test_mix2")[0].collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, c))
     assert mixing.mix(spark, docs.where("false"), target, name="test_mix3")[0].count() == 0
