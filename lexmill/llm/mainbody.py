@@ -25,7 +25,7 @@ _ADDED = re.compile(
     |(?:photo|earlier|related|read\ also|see\ also):|share\ this|join\ the\ talk|reading\ time|views\ are\ the\ author|updated\ at|all\ the\ news\ of|prepared\ for|spotted\ a\ typo|sign\ up\ for|follow\ us|more\ on\ this
     |(?:foto|zuvor|mehr\ dazu|lesen\ sie\ auch|siehe\ auch|zum\ thema):|zuletzt\ geändert|mehr\ davon|lesezeit|mitreden|teilen\b|für\ \S+\.\w+\ erstellt|(?:tipp)?fehler\ gefunden|alle\ meldungen|abonnieren|meinung\ des
     |(?:by|von)\s+\S+\s+\S+[!»\s]*$
-    )|\b[a-z-]+\.[a-z]{2,}\b(?!\()""",
+    )|\b[a-z-]{1,63}\.[a-z]{2,}\b(?!\()""",
     re.I | re.X,
 )
 

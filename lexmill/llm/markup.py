@@ -120,27 +120,27 @@ def fit(pages: list[list[tuple[str, tuple[str, ...]]]]) -> Weights:
 
 _F = re.M | re.S
 _CODE = (
-    ("html", re.compile(r"<pre\b[^>]*>.*?(?:</pre>|\Z)|<code\b[^>]*>.*?(?:</code>|\Z)", re.S | re.I)),
-    ("wiki", re.compile(r"<(syntaxhighlight|source|nowiki)\b[^>]*>.*?(?:</\1>|\Z)", re.S | re.I)),
+    ("html", re.compile(r"<pre\b[^<>]*>.*?(?:</pre>|\Z)|<code\b[^<>]*>.*?(?:</code>|\Z)", re.S | re.I)),
+    ("wiki", re.compile(r"<(syntaxhighlight|source|nowiki)\b[^<>]*>.*?(?:</\1>|\Z)", re.S | re.I)),
     ("latex", re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}.*?(?:\\end\{\1\}|\Z)|\\verb\*?([^\sA-Za-z*]).*?\2|\\texttt\{[^{}]*\}", re.S)),
     ("markdown", re.compile(r"```.*?(?:```|\Z)|~~~.*?~~~|(?<!`)`[^`\n]+`(?!`)", re.S)),
 )
 _FORMULA = (
-    ("wiki", re.compile(r"<math\b[^>]*>.*?(?:</math>|\Z)", re.S | re.I)),
-    ("latex", re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray)\*?\}.*?(?:\\end\{\1\*?\}|\Z)|\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={])[^$\n]+(?<=[^\s\\$])\$(?![\w$])", re.S)),
+    ("wiki", re.compile(r"<math\b[^<>]*>.*?(?:</math>|\Z)", re.S | re.I)),
+    ("latex", re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray)\*?\}.*?(?:\\end\{\1\*?\}|\Z)|\$\$.+?\$\$|\\\[(?:[^\\]|\\(?!\[))+?\\\]|\\\((?:[^\\]|\\(?!\())+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={])[^$\n]+(?<=[^\s\\$])\$(?![\w$])", re.S)),
 )
 _REST = (
-    ("html", "heading", re.compile(r"<h[1-6]\b[^>]*>", re.I)),
-    ("html", "list", re.compile(r"<(?:ul|ol|li|dl|dt)\b[^>]*>", re.I)),
-    ("html", "table", re.compile(r"<(?:table|tr|td|th)\b[^>]*>", re.I)),
-    ("html", "inline", re.compile(r"<(?:a|b|i|u|s|em|strong|span|br|hr|img|sub|sup|small|font|mark|p|div)\b[^>]*>|</(?:a|b|i|em|strong|span|p|div)>|&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,5});", re.I)),
-    ("wiki", "heading", re.compile(r"^\s*(={2,6})\s*[^=\s].*?[^=\s]\s*\1\s*$", re.M)),
-    ("wiki", "table", re.compile(r"^\s*\{\||\|\}\s*$", re.M)),
-    ("wiki", "list", re.compile(r"^\s*(?:\*{2,}|#{1,6}|\*|[*#]{2,})\s*(?=\[\[)|^\s*\*{2,}\s+\S|^\s*[*#]*#\*|^\s*[;:]\s+\S", re.M)),
-    ("wiki", "inline", re.compile(r"\[\[[^\[\]]+\]\]|'{2,5}[^']+'{2,5}|\[https?://\S+ [^\]]+\]|<ref\b|\{\{(?:cite|ref|lang)\b")),
-    ("markdown", "heading", re.compile(r"^\s*#{1,6}\s+(?!\[\[)\S|^[^\n]*\S[^\n]*\n\s*(?:={3,}|-{3,})\s*$|\S\s+={5,}\s*$", re.M)),
+    ("html", "heading", re.compile(r"<h[1-6]\b[^<>]*>", re.I)),
+    ("html", "list", re.compile(r"<(?:ul|ol|li|dl|dt)\b[^<>]*>", re.I)),
+    ("html", "table", re.compile(r"<(?:table|tr|td|th)\b[^<>]*>", re.I)),
+    ("html", "inline", re.compile(r"<(?:a|b|i|u|s|em|strong|span|br|hr|img|sub|sup|small|font|mark|p|div)\b[^<>]*>|</(?:a|b|i|em|strong|span|p|div)>|&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,5});", re.I)),
+    ("wiki", "heading", re.compile(r"^[^\S\n]*(={2,6})\s*[^=\s].*?[^=\s]\s*\1\s*$", re.M)),
+    ("wiki", "table", re.compile(r"^[^\S\n]*\{\||\|\}\s*$", re.M)),
+    ("wiki", "list", re.compile(r"^[^\S\n]*(?:\*{2,}|#{1,6}|\*|[*#]{2,})\s*(?=\[\[)|^[^\S\n]*\*{2,}\s+\S|^[^\S\n]*[*#]*#\*|^[^\S\n]*[;:]\s+\S", re.M)),
+    ("wiki", "inline", re.compile(r"\[\[[^\[\]]+\]\]|'{2,5}[^']+'{2,5}|\[https?://[^\s\[\]]+ [^\[\]]+\]|<ref\b|\{\{(?:cite|ref|lang)\b")),
+    ("markdown", "heading", re.compile(r"^[^\S\n]*#{1,6}\s+(?!\[\[)\S|\S[^\S\n]*\n\s*(?:={3,}|-{3,})[^\S\n]*$|\S\s+={5,}\s*$", re.M)),
     ("markdown", "table", re.compile(r"\|\s*:?-{2,}:?\s*\|")),
-    ("markdown", "list", re.compile(r"^\s*(?:[-+]|\*(?!\*)|\d{1,3}[.)])\s+(?!\[\[)\S", re.M)),
+    ("markdown", "list", re.compile(r"^[^\S\n]*(?:[-+]|\*(?!\*)|\d{1,3}[.)])\s+(?!\[\[)\S", re.M)),
     ("markdown", "inline", re.compile(r"!?\[[^\[\]\n]*\]\([^()\s]+(?:\s+\"[^\"]*\")?\)|\*\*(?=\S)[^*\n]+(?<=\S)\*\*|(?<![*\w])\*(?=[^\s*\d])[^*\n]+(?<=[^\s*])\*(?![*\w])|~~(?=\S)[^~\n]+~~")),
     ("latex", "heading", re.compile(r"\\(?:sub){0,2}section\b|\\(?:chapter|paragraph|part)\b\*?\{")),
     ("latex", "list", re.compile(r"\\begin\{(?:itemize|enumerate|description)\}|\\item\b")),
@@ -148,13 +148,28 @@ _REST = (
     ("latex", "inline", re.compile(r"\\(?:textbf|textit|emph|underline|textsc|cite[tp]?|href|url|ref|label|footnote|includegraphics)\b|\\\\(?=\s*$)")),
 )
 _TABULAR = re.compile(r"\\begin\{(tabular|longtable|array)\*?\}.*?(?:\\end\{\1\*?\}|\Z)", re.S)
-_ANY = re.compile(r"[<\\`|$*]|\[\[|\]\(|''|&[a-zA-Z#]|==|~~|\[http|^\s*(?:#|[-+;:]\s|\d{1,3}[.)]\s)", re.M)
+_ANY = re.compile(r"[<\\`|$*]|\[\[|\]\(|''|&[a-zA-Z#]|==|~~|\[http|^[^\S\n]*(?:#|[-+;:]\s|\d{1,3}[.)]\s)", re.M)
+
+
+_BLANKS, _LINES = re.compile(r"[^\S\n]{3,}"), re.compile(r"\n[^\S\n]*\n\s+")
+
+
+def _short_runs(text: str) -> str:
+    """Long runs of blanks and of empty lines cut to two; no pattern below minds their length."""
+    return _LINES.sub("\n\n", _BLANKS.sub("  ", text))
+
+
+def _closed(pattern: re.Pattern, closer: str, to, text: str) -> str:
+    """``pattern.sub`` where it can end: up to the last ``closer``."""
+    end = text.rfind(closer) + len(closer)
+    return text if end < len(closer) else pattern.sub(to, text[:end]) + text[end:]
 
 
 def constructs(text: str) -> set[tuple[str, str]]:
     """(markup, construct) pairs in a piece of source text."""
     if _ANY.search(text) is None:
         return set()
+    text = _short_runs(text)
     found = set()
     for markup, p in _CODE:
         text, n = p.subn(" \x00 ", text)
@@ -175,10 +190,12 @@ def constructs(text: str) -> set[tuple[str, str]]:
 
 _SECTION = re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}|\\(?:chapter|paragraph|part)\*?\{([^{}]*)\}")
 _LTX_WRAP = re.compile(r"\\(?:textbf|textit|emph|underline|textsc|texttt|url)\{([^{}]*)\}")
-_LTX_CITE = re.compile(r"~?\\(?:cite[tp]?|ref|label|footnote)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
+_LTX_CITE = re.compile(r"~?\\(?:cite[tp]?|ref|label|footnote)\*?(?:\[[^\[\]]*\])?\{[^{}]*\}")
 _LTX_ENV = re.compile(r"\\(?:begin|end)\{[a-zA-Z*]+\}(?:\{[lcr|]*\})?")
+_LTX_TABLE = re.compile(r"\\begin\{tabular\}(?:\{[^{}]*\})?(.*?)\\end\{tabular\}", re.S)
+_WIKI_TABLE = re.compile(r"\{\|[^\n|!]*(.*?)\|\}", re.S)
 _MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:\s+\"[^\"]*\")?\)")
-_WIKI_FILE = re.compile(r"\[\[(?:Файл|File|Datei|Image|Изображение|Bild):[^\[\]]*?\|?([^|\[\]]*)\]\]")
+_WIKI_FILE = re.compile(r"\[\[(?:Файл|File|Datei|Image|Изображение|Bild):(?:[^\[\]]*\|)?([^|\[\]]*)\]\]")
 _WIKI_LINK = re.compile(r"\[\[(?:[^|\[\]]*\|)?([^|\[\]]*)\]\]")
 
 
@@ -196,38 +213,39 @@ def clean_text(text: str) -> str:
         return f"\x00{len(kept) - 1}\x00"
 
     def code(m) -> str:
-        body = re.sub(r"^```\w*|```$|^`|`$|^~~~|~~~$|</?(?:pre|code|syntaxhighlight|source|nowiki)\b[^>]*>|\\(?:begin|end)\{\w+\}|^\\texttt\{|\}$", "", m.group(), flags=re.I).strip("\n")
+        body = re.sub(r"^```\w*|```$|^`|`$|^~~~|~~~$|</?(?:pre|code|syntaxhighlight|source|nowiki)\b[^<>]*>|\\(?:begin|end)\{\w+\}|^\\texttt\{|\}$", "", m.group(), flags=re.I).strip("\n")
         return hold("\n```\n" + unescape(body).strip("\n") + "\n```\n")
 
     for _, p in _CODE:
         text = p.sub(code, text)
     for _, p in _FORMULA:
-        text = p.sub(lambda m: hold(" $" + re.sub(r"^\$+|\$+$|^\\[\[(]|\\[\])]$|\\(?:begin|end)\{\w+\*?\}|</?math[^>]*>", "", m.group()).strip() + "$ "), text)
-    text = re.sub(r"(?s)\\begin\{tabular\}(?:\{[^{}]*\})?(.*?)\\end\{tabular\}", lambda m: "\n" + "\n".join("| " + r.replace("&", "|").strip() + " |" for r in re.split(r"\\\\", m[1]) if r.strip()) + "\n", text)
+        text = p.sub(lambda m: hold(" $" + re.sub(r"^\$+|\$+$|^\\[\[(]|\\[\])]$|\\(?:begin|end)\{\w+\*?\}|</?math[^<>]*>", "", m.group()).strip() + "$ "), text)
+    text = _short_runs(text)
+    text = _closed(_LTX_TABLE, "\\end{tabular}", lambda m: "\n" + "\n".join("| " + r.replace("&", "|").strip() + " |" for r in re.split(r"\\\\", m[1]) if r.strip()) + "\n", text)
     text = _SECTION.sub(lambda m: f"\n# {m[1] or m[2]}\n", text)
     text = re.sub(r"\\item\s*", "\n- ", text)
     text = _LTX_CITE.sub("", _LTX_WRAP.sub(r"\1", text))
     text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
     text = _LTX_ENV.sub("\n", text)
     text = re.sub(r"(?m)\\\\\s*$", "\n", text)
-    text = re.sub(r"(?m)^\s*={2,6}\s*(.*?)\s*={2,6}\s*$", r"# \1", text)
-    text = re.sub(r"(?m)^([^\n]*\S)\s*\n\s*={3,}\s*$", r"# \1", text)
-    text = re.sub(r"(?m)^(\S[^\n]*?)\s+={5,}\s*$", r"# \1", text)
-    text = re.sub(r"(?m)^\s*[*#]+\s*(?=\[\[)", "- ", text)
-    text = re.sub(r"(?m)^\s*(?:[-+*]|\d{1,3}[.)])\s+(?=\S)", "- ", text)
-    text = re.sub(r"(?m)^\s*#{2,6}\s+", "# ", text)
+    text = re.sub(r"(?m)^[^\S\n]*={2,6}[^\S\n]*(.*?)[^\S\n]*={2,6}[^\S\n]*$", r"# \1", text)
+    text = re.sub(r"(?m)^([^\n]*\S)[^\S\n]*\n\s*={3,}[^\S\n]*$", r"# \1", text)
+    text = re.sub(r"(?m)^(\S(?:[^\n]*\S)?)[^\S\n]+={5,}[^\S\n]*$", r"# \1", text)
+    text = re.sub(r"(?m)^[^\S\n]*[*#]+\s*(?=\[\[)", "- ", text)
+    text = re.sub(r"(?m)^[^\S\n]*(?:[-+*]|\d{1,3}[.)])[^\S\n]+(?=\S)", "- ", text)
+    text = re.sub(r"(?m)^[^\S\n]*#{2,6}\s+", "# ", text)
     text = _WIKI_LINK.sub(r"\1", _WIKI_FILE.sub(r"\1", text))
     text = re.sub(r"'{2,5}([^']+)'{2,5}", r"\1", text)
-    text = re.sub(r"(?s)\{\|[^\n|!]*(.*?)\|\}", lambda m: "\n" + "\n".join("| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", r.strip().lstrip("|!").strip()) + " |" for r in re.split(r"\|-|\n(?=[|!])", m[1]) if r.strip(" |!\n")) + "\n", text)
-    text = re.sub(r"(?m)^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$\n?", "", text)
+    text = _closed(_WIKI_TABLE, "|}", lambda m: "\n" + "\n".join("| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", r.strip().lstrip("|!").strip()) + " |" for r in re.split(r"\|-|\n(?=[|!])", m[1]) if r.strip(" |!\n")) + "\n", text)
+    text = re.sub(r"(?m)^[^\S\n]*\|(?:[^\S\n]*:?-{2,}:?[^\S\n]*\|)+[^\S\n]*$\n?", "", text)
     text = _MD_LINK.sub(r"\1", text)
     text = re.sub(r"\*\*(?=\S)([^*\n]+)(?<=\S)\*\*|~~(?=\S)([^~\n]+)~~", lambda m: m[1] or m[2], text)
-    text = re.sub(r"(?i)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", r"\n# \1\n", text)
-    text = re.sub(r"(?i)<li\b[^>]*>", "\n- ", text)
-    text = re.sub(r"(?i)<tr\b[^>]*>", "\n| ", text)
+    text = re.sub(r"(?i)<h[1-6]\b[^<>]*>((?:[^<\n]|<(?!/?h[1-6]))*)</h[1-6]>", r"\n# \1\n", text)
+    text = re.sub(r"(?i)<li\b[^<>]*>", "\n- ", text)
+    text = re.sub(r"(?i)<tr\b[^<>]*>", "\n| ", text)
     text = re.sub(r"(?i)</t[dh]>", " | ", text)
-    text = re.sub(r"(?i)<br\s*/?>|</?(?:p|div|ul|ol|table|tbody|thead)\b[^>]*>", "\n", text)
-    text = re.sub(r"(?i)</?(?:a|b|i|u|s|em|strong|span|img|sub|sup|small|font|mark|li|tr|td|th|hr|h[1-6])\b[^>]*>", "", text)
+    text = re.sub(r"(?i)<br\s*/?>|</?(?:p|div|ul|ol|table|tbody|thead)\b[^<>]*>", "\n", text)
+    text = re.sub(r"(?i)</?(?:a|b|i|u|s|em|strong|span|img|sub|sup|small|font|mark|li|tr|td|th|hr|h[1-6])\b[^<>]*>", "", text)
     text = unescape(text)
     lines = [" ".join(x.split(" ")).strip() for x in re.sub(r"[^\S\n]+", " ", text).split("\n")]
     text = "\n".join(x for x in lines if x)

@@ -194,6 +194,8 @@ def test_gradients_match_differences():
         (r"\begin{verbatim} SELECT * FROM t \end{verbatim}", {("latex", "code")}),
         (r"в парке $a_{y} = v^{2}/r$.", {("latex", "formula")}),
         (r"\[ P = F \cdot v \]", {("latex", "formula")}),
+        ("в парке $a_{y} = " + " + ".join(f"x_{{{k}}}" for k in range(200)) + "$.", {("latex", "formula")}),
+        ("цена $" + "9" * 300_000 + " и $5", set()),
         ("бюджет $98 млн, а призовые $62 млн", set()),
         ("Номер #83, формула 5*3, lap_time_1_final.csv [1]", set()),
         ("{| class=\"wikitable\"\n|-\n! А !! Б\n|}", {("wiki", "table")}),
@@ -246,6 +248,39 @@ def test_queries_on_hard_rows(spark):
     assert pages.garbled_blocks(spark, a, s).count() == 0
 
 
+def garble(text):
+    return "".join(encoding._FROM_BYTES["cp1252"][b] for b in text.encode())
+
+
+def test_restored_and_clean_records(spark):
+    """p7_text restores blocks and counts the lost ones; p6_text gives the same story garbled or not."""
+    rows = [(n, story(n), "s") for n in range(0, 200, 4)]
+    body = story(900)
+    rows += [(500, garble(body), "s"), (501, body, "s"), (502, "<p>ab � cd</p><p>plain</p>", "s"), (503, None, "s"), (504, "", "s"), (None, body, "s")]
+    a = articles(spark, rows)
+    s = pages.sample(a)
+    got = {r.id: r for r in pages.restored_records(spark, a, s).collect()}
+    assert got[500].text == got[501].text and got[500].restored > 4 and got[501].restored == got[501].lost == 0
+    assert (got[502].text, got[502].restored, got[502].lost) == ("ab � cd\nplain", 0, 1)
+    assert got[503].text == got[504].text == "" and len(got) == len({i for i, _, _ in rows})
+    clean_ = {r.id: r.text for r in pages.clean_stories(spark, a, s).collect()}
+    assert clean_[500] == clean_[501] != ""
+
+
+def test_one_decision_on_residue(spark):
+    """Problems 1, 2 and 6 leave out the same pages, garbled ones too."""
+    rows = [(n, story(n), "s") for n in range(0, 200, 4)] + [(600 + k, f"<p>404 Not Found</p><p>Страница не найдена {k}</p>", "s") for k in range(8)]
+    rows += [(700, garble("<p>Страница не найдена 3</p>"), "s"), (701, story(800).replace("<p>Автор", "<p>{{ body }}</p><p>Автор"), "s")]
+    a = articles(spark, rows)
+    s = pages.sample(a)
+    cases = {r.id for r in pages.residue_cases(spark, a, s).collect()}
+    assert cases == {*range(600, 608), 700, 701}
+    assert not cases & {r.id for r in pages.main_blocks(spark, a, s).collect()}
+    assert {r.id for r in pages.clean_stories(spark, a, s).where("text = ''").collect()} >= cases
+    reader = pages.Reader(pages.fit_encoding(s), pages.fit_residue(s), True)
+    assert {i for (i, _, _), c in zip(rows, reader([h for _, h, _ in rows])[2]) if c} == cases
+
+
 def test_empty_table(spark):
     a = articles(spark, [])
     s = pages.sample(a)
