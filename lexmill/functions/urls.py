@@ -21,15 +21,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
 
 
-def file_name_flat(url: Column) -> Column:
-    """Path with '/' as '_', forbidden characters as '_', and '.html' added."""
-    flat = F.replace(F.trim(path_of(url), F.lit("/")), F.lit("/"), F.lit("_"))
-    return F.concat(F.regexp_replace(flat, r'[<>:"|?*\\]', "_"), F.lit(".html"))
+def file_name_flat(url: Column, ordinal: Column) -> Column:
+    """Path with '/' and forbidden characters as '_', '.html' added where it is missing; ``article_<ordinal>`` for an empty path."""
+    path = F.coalesce(F.nullif(F.trim(path_of(url), F.lit("/")), F.when(url.isNotNull(), F.lit(""))), F.when(url.isNotNull(), F.concat(F.lit("article_"), ordinal.cast("string"))))
+    flat = F.replace(path, F.lit("/"), F.lit("_"))
+    return F.regexp_replace(F.when(F.endswith(flat, F.lit(".html")), flat).otherwise(F.concat(flat, F.lit(".html"))), r'[<>:"|?*\\]', "_")
 
 
-def file_name_capped(url: Column, limit: int = 100) -> Column:
+def file_name_capped(url: Column, ordinal: Column, limit: int = 100) -> Column:
     """The flat name; beyond ``limit`` characters its first ``limit - 5`` and '.html'."""
-    name = file_name_flat(url)
+    name = file_name_flat(url, ordinal)
     return F.when(F.length(name) > limit, F.concat(F.substring(name, 1, limit - 5), F.lit(".html"))).otherwise(name)
 
 
@@ -52,15 +53,28 @@ def day_before(day: Column) -> Column:
     return F.date_sub(day, 1)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with '/' without its '.' and '..' segments; '..' above the root is dropped."""
+    up = lambda done, s: F.when(s == "..", F.regexp_replace(done, "/[^/]*$", "")).when(s == ".", done).otherwise(F.concat(done, F.lit("/"), s))
+    done = F.aggregate(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), F.lit(""), up)
+    return F.when(F.regexp_like(path, F.lit(r"/\.\.?$")), F.concat(done, F.lit("/"))).otherwise(F.when(done == "", "/").otherwise(done))
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """Resolve ``href`` against ``base``: absolute, //host, /path or relative."""
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)
-    folder = F.when(path_of(base) == "", F.concat(base, F.lit("/"))).otherwise(F.regexp_replace(base, r"[^/]*$", ""))
+    """Resolve ``href`` against ``base``: absolute, //host, /path, relative with '.' and '..', ?query, #fragment or empty."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    whole = F.regexp_replace(base, r"#.*$", "")
+    page = F.regexp_replace(whole, r"\?.*$", "")
+    folder = F.regexp_replace(F.substring(page, F.length(origin) + 1, F.length(page)), r"[^/]*$", "")
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     return (
-        F.when(F.regexp_like(href, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")), href)
+        F.when(href == "", base)
+        .when(F.regexp_like(href, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")), href)
+        .when(F.startswith(href, F.lit("#")), F.concat(whole, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(page, href))
         .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^/]*)", 1), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-        .otherwise(F.concat(folder, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(origin, without_dots(path), rest))
+        .otherwise(F.concat(origin, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), rest))
     )
 
 

@@ -161,12 +161,17 @@ def search(post: DataFrame, universe: DataFrame | None, query: str, stemmer: str
     return flags.where(_condition(ast, lambda t: F.col(at[t]))).select("doc_id")
 
 
+def numbered(lines: list[str]) -> list[str]:
+    """The queries of a batch in order: lines cut at their line end, empty ones skipped; a line of blanks is a query without hits."""
+    return [q for q in (re.split("[\r\n]", x or "", maxsplit=1)[0] for x in lines) if q]
+
+
 def search_many(post: DataFrame, universe: DataFrame | None, queries: list[str], stemmer: str = "query", fold: str = "ascii") -> DataFrame:
-    """``(query_no, doc_id)`` for all non-blank queries, numbered from 1, in one pass.
+    """``(query_no, doc_id)`` for all ``numbered`` queries, from 1, in one pass.
 
     The queries are typed by people and few; the documents are the large side.
     """
-    live = [q for q in queries if q and q.strip()]
+    live = numbered(queries)
     asts = [parse(q, stemmer, fold) for q in live]
     terms = sorted(set().union(*map(words, asts))) if asts else []
     at = {t: f"f{i}" for i, t in enumerate(terms)}
@@ -181,7 +186,7 @@ def batch_report(spark, post, universe, queries, first: int = 100) -> DataFrame:
 
     Ranks beyond the limit are dropped inside the window, per query.
     """
-    live = [q for q in queries if q and q.strip()]
+    live = numbered(queries)
     hits = search_many(post, universe, queries)
     found = hits.groupBy("query_no").agg(F.count(F.lit(1)).alias("found"))
     best = hits.withColumn("_r", F.row_number().over(W.partitionBy("query_no").orderBy("doc_id"))).where(F.col("_r") <= first)
@@ -191,10 +196,11 @@ def batch_report(spark, post, universe, queries, first: int = 100) -> DataFrame:
 
 
 def display(hits: DataFrame, docs: DataFrame, most: int = 50) -> DataFrame:
-    """First hits by id with number and address; hits without metadata are left out."""
+    """First hits by id with number, address and how many hits remain beyond them; hits without metadata are left out."""
     best = hits.orderBy("doc_id").limit(most)
     rows = best.withColumn("hit_no", F.row_number().over(W.orderBy("doc_id")).cast("bigint"))
-    return rows.join(docs, "doc_id").select("hit_no", "doc_id", "url")
+    rest = hits.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("remaining"))
+    return rows.join(docs, "doc_id").crossJoin(F.broadcast(rest)).select("hit_no", "doc_id", "url", "remaining")
 
 
 # Set algebra on id DataFrames: the second physical form, used in tests.
@@ -219,8 +225,8 @@ def search_by_sets(post: DataFrame, universe: DataFrame, query: str, stemmer: st
 
 
 def sql_search(query: str, stemmer: str = "query", fold: str = "ascii") -> str:
-    """Set-based SQL condition over ``st(doc_id, term)``."""
-    word = lambda t: "doc_id IN (SELECT doc_id FROM st WHERE term = '" + t.replace("'", "''") + "')"
+    """SQL condition over all terms of one document, for HAVING after GROUP BY doc_id on ``st(doc_id, term)``."""
+    word = lambda t: "bool_or(term = '" + t.replace("'", "''") + "')"
     return fold_ast(parse(query, stemmer, fold), word, "FALSE", lambda x: f"(NOT {x})", lambda a, b: f"({a} AND {b})", lambda a, b: f"({a} OR {b})")
 
 

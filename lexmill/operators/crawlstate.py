@@ -80,6 +80,25 @@ def recrawl_due(articles: DataFrame, hashes: DataFrame, source: str, now: int, i
     return due.select("url").orderBy("url").limit(limit)
 
 
+def recrawl_points(pages: DataFrame, processed: str, every: int = 50, at_start: bool = False) -> DataFrame:
+    """Rows of a crawl after which old pages are checked again: each ``every``-th one processed, with ``at_start`` the 0th too."""
+    n = F.col(processed)
+    return pages.where((F.pmod(n, F.lit(every)) == 0) & (F.lit(at_start) | (n > 0)))
+
+
+def crawl_summary(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """``(processed, saved, skipped, success_pct)`` of a batch of landed pages.
+
+    Saved are pages with content whose address was not ``known``; known ones are
+    skipped, and what remains has failed.
+    """
+    old = known.select("url").distinct().withColumn("_known", F.lit(True))
+    n, ok = F.count(F.lit(1)), F.col("_known").isNull() & (F.coalesce("html_content", F.lit("")) != "")
+    saved, skipped = F.count(F.when(ok, 1)), F.count("_known")
+    pct = F.when(n > 0, F.round(saved * 100.0 / n, 6)).alias("success_pct")
+    return pages.select("url", "html_content").join(old, "url", "left").agg(n.alias("processed"), saved.alias("saved"), skipped.alias("skipped"), pct)
+
+
 def stored_count(articles: DataFrame, source: str) -> DataFrame:
     return articles.where(F.col("source_name") == source).agg(F.count(F.lit(1)).alias("n"))
 

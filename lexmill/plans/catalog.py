@@ -10,8 +10,10 @@ from lexmill.functions import htmltext as H
 from lexmill.functions import lexical as L
 from lexmill.functions import urls as U
 from lexmill.operators import boolq, crawlstate, index, vocab
+from lexmill.sources import readers, writers
 from lexmill.sources.readers import last_published, nonempty_articles, query_lines, sitemap_urls, table
 from lexmill.sources.writers import preview, xml_rows
+from lexmill.store import new_path
 
 # Reference instant of the recrawl queries (never the wall clock).
 NOW, WEEK = 1765152000, 7 * 86400
@@ -41,6 +43,19 @@ def _stems(s, d, **k):
     return index.stems(table(s, d, "documents"), "doc_id", "text", **k)
 
 
+_indexes: dict = {}
+
+
+def _index(s, d):
+    """``(postings, docs)`` read from a saved index, which is built once per session and folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = new_path(s, "index")
+        index.save(index.postings(_stems(s, d)), index.forward_index(_stems(s, d), table(s, d, "documents").select("doc_id", "source", "url")), path)
+        _indexes[key] = path
+    return index.load(s, _indexes[key])
+
+
 TOK = "WITH " + L.sql_tokens("documents", "doc_id", "text", "index")
 TOKF = "WITH " + L.sql_tokens("documents", "doc_id", "text", "frequency")
 ST = TOK + f", st AS (SELECT doc_id, {L.sql_stem('t')} AS term FROM tok)"
@@ -221,10 +236,27 @@ def stem_demo(s, d):
 # --- index
 
 
-@query(ST + " SELECT term, count(DISTINCT doc_id) AS df, string_agg(DISTINCT doc_id::VARCHAR, ' ' ORDER BY doc_id::VARCHAR) AS postings FROM st GROUP BY term".replace("string_agg(DISTINCT doc_id::VARCHAR, ' ' ORDER BY doc_id::VARCHAR)", "array_to_string(list_sort(list(DISTINCT doc_id)), ' ')"))
+# Ids of one segment of a term's list; small, so that the test tables cut lists too.
+SEGMENT = 500
+
+
+@query(ST + f" SELECT term, doc_id // {SEGMENT} AS segment, count(DISTINCT doc_id) AS df, array_to_string(list_sort(list(DISTINCT doc_id)), ' ') AS postings FROM st GROUP BY ALL")
 def inverted_index(s, d):
-    lists = index.posting_lists(index.postings(_stems(s, d)))
-    return lists.select("term", "df", F.array_join(F.transform("postings", lambda x: x.cast("string")), " ").alias("postings"))
+    """A term's list in segments by id, so that no task holds the whole list of a term in every document."""
+    lists = index.posting_segments(index.postings(_stems(s, d)), SEGMENT)
+    return lists.select("term", "segment", "df", F.array_join(F.transform("postings", lambda x: x.cast("string")), " ").alias("postings"))
+
+
+@query(ST + " SELECT term, count(DISTINCT doc_id) AS df FROM st GROUP BY term")
+def document_frequency(s, d):
+    return index.document_frequency(_index(s, d)[0])
+
+
+@query(ST + " SELECT d.doc_id, d.source, d.url, c.n AS term_count, c.terms FROM documents d JOIN (SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms FROM st GROUP BY doc_id) c USING (doc_id)")
+def index_round_trip(s, d):
+    """The saved index read back: documents and how many postings each has."""
+    post, docs = _index(s, d)
+    return docs.join(post.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms")), "doc_id").select("doc_id", "source", "url", "term_count", "terms")
 
 
 @query(ST + " SELECT DISTINCT term, doc_id FROM st")
@@ -244,7 +276,7 @@ def index_stats(s, d):
 
 @query(ST + " SELECT DISTINCT doc_id FROM st WHERE term = '" + L.stem_word("пилот") + "'")
 def term_lookup(s, d):
-    return index.postings(_stems(s, d)).where(F.col("term") == L.stem_word("пилот")).select("doc_id")
+    return _index(s, d)[0].where(F.col("term") == L.stem_word("пилот")).select("doc_id")
 
 
 # --- boolean queries
@@ -267,7 +299,8 @@ SAMPLES = {
 
 def _search(text, **k):
     def run(s, d):
-        return boolq.search(_stems(s, d), None, text, **k)
+        post, docs = _index(s, d)
+        return boolq.search(post, docs, text, **k)
 
     return run
 
@@ -275,12 +308,18 @@ def _search(text, **k):
 for _name, _text in SAMPLES.items():
     _k = {"stemmer": "index"} if _name == "bool_index_stemmer" else {}
     QUERIES[_name] = _search(_text, **_k)
-    SQL[_name] = ST + f" SELECT doc_id FROM (SELECT DISTINCT doc_id FROM st) u WHERE {boolq.sql_search(_text, **_k)}"
+    SQL[_name] = ST + f" SELECT doc_id FROM st GROUP BY doc_id HAVING {boolq.sql_search(_text, **_k)}"
+
+
+@query(ST + f" SELECT doc_id FROM st GROUP BY doc_id HAVING {boolq.sql_search(SAMPLES['bool_nested'])}")
+def bool_scan(s, d):
+    """Search without an index: flags of the query's words over one scan of the texts."""
+    return boolq.search(_stems(s, d), None, SAMPLES["bool_nested"])
 
 
 @query()
 def bool_batch(s, d):
-    return boolq.batch_report(s, _stems(s, d), None, query_lines(table(s, d, "query_batch")))
+    return boolq.batch_report(s, *_index(s, d), query_lines(table(s, d, "query_batch")))
 
 
 def _batch_sql(folder: str) -> str | None:
@@ -290,16 +329,16 @@ def _batch_sql(folder: str) -> str | None:
         return None
     import pyarrow.parquet as pq
 
-    live = [q for q in pq.read_table(path).column("line").to_pylist() if q and q.strip()]
-    arms = " UNION ALL ".join(f"SELECT {i} AS query_no, doc_id FROM u WHERE {boolq.sql_search(q)}" for i, q in enumerate(live, 1))
+    live = boolq.numbered(pq.read_table(path).column("line").to_pylist())
+    arms = " UNION ALL ".join(f"SELECT {i} AS query_no, doc_id FROM st GROUP BY doc_id HAVING {boolq.sql_search(q)}" for i, q in enumerate(live, 1))
     names = ", ".join(f"({i}, {L._q(q)})" for i, q in enumerate(live, 1))
-    return ST + f", u AS (SELECT DISTINCT doc_id FROM st), h AS ({arms}), r AS (SELECT query_no, doc_id, row_number() OVER (PARTITION BY query_no ORDER BY doc_id) AS k FROM h) SELECT n.query_no::INTEGER AS query_no, n.query, count(r.doc_id) AS found, coalesce(string_agg(r.doc_id::VARCHAR, ' ' ORDER BY r.doc_id) FILTER (WHERE k <= 100), '') AS ids FROM (VALUES {names}) n(query_no, query) LEFT JOIN r ON r.query_no = n.query_no GROUP BY ALL"
+    return ST + f", h AS ({arms}), r AS (SELECT query_no, doc_id, row_number() OVER (PARTITION BY query_no ORDER BY doc_id) AS k FROM h) SELECT n.query_no::INTEGER AS query_no, n.query, count(r.doc_id) AS found, coalesce(string_agg(r.doc_id::VARCHAR, ' ' ORDER BY r.doc_id) FILTER (WHERE k <= 100), '') AS ids FROM (VALUES {names}) n(query_no, query) LEFT JOIN r ON r.query_no = n.query_no GROUP BY ALL"
 
 
-@query(ST + f" SELECT row_number() OVER (ORDER BY h.doc_id) AS hit_no, h.doc_id, d.url FROM (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM st) u WHERE {boolq.sql_search('пилот && штраф')} ORDER BY doc_id LIMIT 50) h JOIN documents d USING (doc_id)")
+@query(ST + f", h AS (SELECT doc_id FROM st GROUP BY doc_id HAVING {boolq.sql_search('пилот && штраф')}) SELECT row_number() OVER (ORDER BY h.doc_id) AS hit_no, h.doc_id, d.url, (SELECT greatest(count(*) - 50, 0) FROM h) AS remaining FROM (SELECT doc_id FROM h ORDER BY doc_id LIMIT 50) h JOIN documents d USING (doc_id)")
 def bool_top50_display(s, d):
-    hits = boolq.search(_stems(s, d), None, "пилот && штраф")
-    return boolq.display(hits, table(s, d, "documents").select("doc_id", "url"))
+    post, docs = _index(s, d)
+    return boolq.display(boolq.search(post, docs, "пилот && штраф"), docs.select("doc_id", "url"))
 
 
 # --- pages
@@ -319,16 +358,33 @@ def _sql_text(found: str) -> str:
     return _CLEAN.replace("regexp_replace(text,", f"regexp_replace({t},")
 
 
-_GENERIC = "coalesce(" + ", ".join(f"nullif(regexp_extract(k, '<{n}\\b[^>]*>(.*?)</{n}\\s*>', 1, 'is'), '')" for n in ("article", "main", "body")) + ", '')"
+def _sql_cut(name: str, source: str, html: str, selectors, keep: str = "text") -> str:
+    """CTEs that end in ``name(id, tag, box)``: inside of the first selector's element in ``source(id, <html>)``."""
+    tag = "coalesce(" + ", ".join(f"nullif(regexp_extract({html}, {L._q(H.opening(x))}, 0), '')" for x in selectors) + ", '')"
+    kept = "CASE WHEN list_position(depths, 0) > 0 THEN parts[1:greatest(list_position(depths, 0) - 1, 1)] ELSE parts END"
+    if keep == "source":
+        kept = f"list_transform({kept}, lambda p, i: p || CASE WHEN i < len({kept}) THEN coalesce(tags[i], '') ELSE '' END)"
+    elif keep == "own":
+        kept = f"list_filter(list_transform({kept}, lambda p, i: CASE WHEN depths[i] = 1 THEN p END), lambda p: p IS NOT NULL)"
+    return (
+        f"{name}_t AS (SELECT id, {html} AS h, {tag} AS tag FROM {source}), "
+        f"{name}_r AS (SELECT id, tag, substr(h, strpos(h, tag) + length(tag)) AS rest, '(?is)</?' || lower(regexp_extract(tag, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) || '(?:\\s[^>]*)?>' AS same FROM {name}_t), "
+        f"{name}_s AS (SELECT id, tag, string_split_regex(rest, same) AS parts, regexp_extract_all(rest, same) AS tags, list_transform(regexp_extract_all(rest, same), lambda x: CASE WHEN starts_with(x, '</') THEN -1 WHEN ends_with(x, '/>') THEN 0 ELSE 1 END) AS steps FROM {name}_r), "
+        f"{name}_d AS (SELECT id, tag, tags, parts, list_transform(range(1, len(parts) + 1), lambda i: 1 + coalesce(list_sum(steps[1:i - 1]), 0)) AS depths FROM {name}_s), "
+        f"{name} AS (SELECT id, tag, CASE WHEN tag = '' THEN '' ELSE array_to_string({kept}, {"''" if keep == "source" else "chr(10)"}) END AS box FROM {name}_d)"
+    )
+
+
+_GENERIC = f"k AS (SELECT id, {_DROP} AS k FROM articles), " + _sql_cut("g", "k", "k", H.GENERIC_BOXES)
 _REPORT = "regexp_extract(k, '<body\\b[^>]*>(.*?)</body\\s*>', 1, 'is')"
 
 
-@query(f"WITH k AS (SELECT id, {_DROP} AS k FROM articles) SELECT id, {_sql_text(_GENERIC)} AS text FROM k")
+@query(f"WITH {_GENERIC} SELECT id, {_sql_text('box')} AS text FROM g")
 def page_clean_text(s, d):
     return table(s, d, "articles").select("id", H.page_text(F.col("html_content"), F.col("url")).alias("text"))
 
 
-@query(f"WITH k AS (SELECT id, {_DROP} AS k FROM articles), t AS (SELECT id, {_sql_text(_GENERIC)} AS text FROM k) SELECT id, length(text)::BIGINT AS char_count, len(string_split(text, ' '))::BIGINT AS word_count FROM t WHERE text <> ''")
+@query(f"WITH {_GENERIC}, t AS (SELECT id, {_sql_text('box')} AS text FROM g) SELECT id, length(text)::BIGINT AS char_count, len(string_split(text, ' '))::BIGINT AS word_count FROM t WHERE text <> ''")
 def page_text_stats(s, d):
     t = page_clean_text(s, d).where("text <> ''")
     return t.select("id", H.char_count(F.col("text")).cast("bigint").alias("char_count"), H.word_count(F.col("text")).cast("bigint").alias("word_count"))
@@ -340,15 +396,34 @@ def page_size_report(s, d):
     return t.groupBy("source_name").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("r").alias("raw_bytes"), F.sum("x").alias("text_bytes"), F.round(F.sum("x") / F.count(F.lit(1)) / 1024.0, 6).alias("mean_text_kb"))
 
 
-@query()
+def _sql_strings(html: str, joint: str) -> str:
+    """Stripped strings between tags of an SQL expression, joined."""
+    p = "p"
+    for a, b in H.ENTITIES:
+        p = f"replace({p}, {L._q(a)}, {L._q(b)})"
+    return f"array_to_string(list_filter(list_transform(string_split_regex({html}, '(?s)<[^>]*>'), lambda p: {_CLEAN.replace('regexp_replace(text,', f'regexp_replace({p},')}), lambda p: p <> ''), {L._q(joint)})"
+
+
+def _sql_drop(html: str, names) -> str:
+    out = f"regexp_replace({html}, '<!--.*?-->', '', 'gs')"
+    for n in names:
+        out = f"regexp_replace({out}, '<{n}\\b[^>]*>.*?</{n}\\s*>', '', 'gis')"
+    return out
+
+
+_BARE = "c AS (SELECT id, regexp_replace(html_content, '<!--.*?-->', '', 'gs') AS h FROM articles), "
+
+
+@query(f"WITH {_BARE}{_sql_cut('a', 'c', 'h', H.SITE_A_BOXES, 'own')}, q AS (SELECT id, regexp_extract_all({_sql_drop('box', H.SITE_A_DROP)}, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1) AS ps FROM a) SELECT id, array_to_string(list_filter(list_transform(ps, lambda x: {_sql_strings('x', '')}), lambda x: x <> ''), ' ') AS text FROM q")
 def page_site_a_text(s, d):
-    """Layout A on every page (the reference picks it by host)."""
-    return table(s, d, "articles").select("id", H.site_a_text("html_content").alias("text"))
+    """Layout A on every page (crawls pick it by host)."""
+    return table(s, d, "articles").select("id", H.site_a_text(F.col("html_content")).alias("text"))
 
 
-@query()
+@query(f"WITH {_BARE}{_sql_cut('b', 'c', 'h', H.SITE_B_BOX, 'source')}, n AS (SELECT id, {_sql_drop('box', ('h1',))} AS h FROM b), {_sql_cut('t', 'n', 'h', H.SITE_B_TEXT, 'own')}, w AS (SELECT id, '<div>' || h AS h FROM n), {_sql_cut('o', 'w', 'h', ('div',), 'own')}, z AS (SELECT id, CASE WHEN t.tag = '' THEN o.box ELSE t.box END AS box FROM o JOIN t USING (id)) SELECT id, {_sql_strings('box', ' ')} AS text FROM z")
 def page_site_b_text(s, d):
-    return table(s, d, "articles").select("id", H.site_b_text("html_content").alias("text"))
+    """Layout B on every page."""
+    return table(s, d, "articles").select("id", H.site_b_text(F.col("html_content")).alias("text"))
 
 
 @query("SELECT id, md5(html_content) AS content_hash FROM articles")
@@ -361,20 +436,63 @@ def page_link_extract(s, d):
     return table(s, d, "articles").select("id", F.explode(H.links(F.col("html_content"))).alias("href")).distinct()
 
 
-@query("SELECT DISTINCT id, CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1) || h ELSE regexp_replace(url, '[^/]*$', '') || h END AS link FROM (SELECT id, url, unnest(regexp_extract_all(html_content, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1, 'i')) AS h FROM articles)")
+def _sql_absolute(base: str, href: str) -> str:
+    origin = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+    whole = f"regexp_replace({base}, '#.*$', '')"
+    page = f"regexp_replace({whole}, '\\?.*$', '')"
+    folder = f"coalesce(nullif(regexp_replace(substr({page}, length({origin}) + 1), '[^/]*$', ''), ''), '/')"
+    path, rest = f"regexp_extract({href}, '^([^?#]*)', 1)", f"regexp_extract({href}, '^[^?#]*(.*)$', 1)"
+
+    def dots(p: str) -> str:
+        done = f"list_reduce(list_prepend('', string_split(substr({p}, 2), '/')), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END)"
+        return f"(CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN {done} || '/' ELSE coalesce(nullif({done}, ''), '/') END)"
+
+    return (
+        f"CASE WHEN {href} = '' THEN {base} WHEN regexp_matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {href} WHEN starts_with({href}, '#') THEN {whole} || {href} WHEN starts_with({href}, '?') THEN {page} || {href} "
+        f"WHEN starts_with({href}, '//') THEN regexp_extract({base}, '^([^/]*)', 1) || {href} WHEN starts_with({href}, '/') THEN {origin} || {dots(path)} || {rest} ELSE {origin} || {dots(f'({folder} || {path})')} || {rest} END"
+    )
+
+
+@query(f"SELECT DISTINCT id, {_sql_absolute('url', 'h')} AS link FROM (SELECT id, url, unnest(regexp_extract_all(html_content, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1, 'i')) AS h FROM articles)")
 def page_links_absolute(s, d):
     rows = table(s, d, "articles").select("id", "url", F.explode(H.links(F.col("html_content"))).alias("h"))
     return rows.select("id", U.absolute(F.col("url"), F.col("h")).alias("link")).distinct()
 
 
-_FLAT = "regexp_replace(replace(trim(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '/'), '/', '_'), '[<>:\"|?*\\\\]', '_', 'g') || '.html'"
+_TAGS = "unnest(regexp_extract_all(regexp_replace(html_content, '<!--.*?-->', '', 'gs'), '</?(?:div|article|li)(?:\\s[^>]*)?>|<a\\s[^>]*>', 0, 'i')) AS t"
+# What the test sites' story links hold.
+STORY_MARK = "/s/"
+_DAY = "nullif(coalesce(nullif(regexp_extract(url, 'news/(\\d{4}/\\d{2}/\\d{2})/', 1), ''), ''), '')"
+
+
+@query(
+    f"""WITH g AS (SELECT id, url, {_TAGS}, generate_subscripts(regexp_extract_all(regexp_replace(html_content, '<!--.*?-->', '', 'gs'), '</?(?:div|article|li)(?:\\s[^>]*)?>|<a\\s[^>]*>', 0, 'i'), 1) AS k FROM (SELECT id, url, replace(html_content, '<div class="c', '<div class="item c') AS html_content FROM articles)),
+    n AS (SELECT *, lower(regexp_extract(t, '^</?([a-zA-Z]+)', 1)) AS name, CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') THEN 0 ELSE 1 END AS step FROM g),
+    p AS (SELECT *, sum(step) OVER (PARTITION BY id, name ORDER BY k) AS depth FROM n WHERE name <> 'a'),
+    i AS (SELECT id, name, k, depth, coalesce((SELECT min(c.k) FROM p c WHERE c.id = o.id AND c.name = o.name AND c.k > o.k AND c.depth < o.depth), 1000000000) AS till FROM p o WHERE step = 1 AND regexp_matches(t, {L._q(H.ITEM_CLASS)})),
+    l AS (SELECT id, url, k, regexp_extract(t, {L._q(H.HREF)}, 1) AS h FROM n WHERE name = 'a')
+    SELECT DISTINCT id, {_sql_absolute('url', 'h')} AS link FROM l WHERE contains(h, '{STORY_MARK}') AND (coalesce(contains(h, {_DAY}), FALSE) OR EXISTS (SELECT 1 FROM i WHERE i.id = l.id AND i.k < l.k AND l.k < i.till))"""
+)
+def page_listing_links(s, d):
+    """Story links of every page as a listing of its address's day: by date, and inside items.
+
+    The test sites' listings have no links, so boxes of hashed class are made items.
+    """
+    day = F.nullif(U.publication_date(F.col("url")), F.lit(U.UNKNOWN))
+    html = F.replace(F.col("html_content"), F.lit('<div class="c'), F.lit('<div class="item c'))
+    rows = table(s, d, "articles").select("id", "url", F.explode(H.listing_links(html, day, STORY_MARK)).alias("h"))
+    return rows.select("id", U.absolute(F.col("url"), F.col("h")).alias("link")).distinct()
+
+
+_PATH = "coalesce(nullif(trim(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '/'), ''), 'article_' || id)"
+_FLAT = f"regexp_replace(replace({_PATH}, '/', '_') || CASE WHEN ends_with(replace({_PATH}, '/', '_'), '.html') THEN '' ELSE '.html' END, '[<>:\"|?*\\\\]', '_', 'g')"
 _LAST = "CASE WHEN ends_with(url, '/') THEN 'article_' || id || '.html' ELSE list_last(string_split(url, '/')) END"
 
 
 @query(f"SELECT id, {_FLAT} AS flat, CASE WHEN length({_FLAT}) > 100 THEN substr({_FLAT}, 1, 95) || '.html' ELSE {_FLAT} END AS capped, {_LAST} AS last_segment FROM articles")
 def page_filename(s, d):
     u = F.col("url")
-    return table(s, d, "articles").select("id", U.file_name_flat(u).alias("flat"), U.file_name_capped(u).alias("capped"), U.file_name_last(u, F.col("id")).alias("last_segment"))
+    return table(s, d, "articles").select("id", U.file_name_flat(u, F.col("id")).alias("flat"), U.file_name_capped(u, F.col("id")).alias("capped"), U.file_name_last(u, F.col("id")).alias("last_segment"))
 
 
 @query("SELECT id, coalesce(nullif(regexp_extract(url, 'news/(\\d{4}/\\d{2}/\\d{2})/', 1), ''), 'unknown') AS published FROM articles")
@@ -408,12 +526,55 @@ def text_preview(s, d):
     return table(s, d, "documents").select("doc_id", preview(F.col("text")).alias("preview"))
 
 
-@query(f"WITH t AS (SELECT doc_id, source, url, {_CLEAN} AS text FROM documents) SELECT doc_id AS id, source, url, '<![CDATA[' || text || ']]>' AS content, length(text)::BIGINT AS character_count, len(string_split(text, ' '))::BIGINT AS word_count FROM t WHERE text <> ''")
+@query(f"WITH t AS (SELECT doc_id, source, url, {_CLEAN} AS text FROM documents) SELECT doc_id AS id, source, url, '<![CDATA[' || chr(10) || text || chr(10) || ']]>' AS content, length(text)::BIGINT AS character_count, len(string_split(text, ' '))::BIGINT AS word_count FROM t WHERE text <> ''")
 def article_xml_rows(s, d):
     clean = table(s, d, "documents").select("doc_id", "source", "url", H.normalize_space(F.col("text")).alias("text"))
     return xml_rows(clean).select(F.col("_id").alias("id"), F.col("_source").alias("source"), "url", "content", "statistics.character_count", "statistics.word_count")
 
 
+@query(f"WITH t AS (SELECT doc_id, source, url, {_CLEAN} AS text FROM documents) SELECT doc_id, source, url, md5(text) AS text_md5, length(text)::BIGINT AS character_count, len(string_split(text, ' '))::BIGINT AS word_count FROM t WHERE text <> ''")
+def xml_round_trip(s, d):
+    """All documents written as article XML and read again."""
+    path = new_path(s, "xml")
+    writers.articles_xml(table(s, d, "documents").select("doc_id", "source", "url", H.normalize_space(F.col("text")).alias("text")), path)
+    return readers.articles_xml(s, path).select("doc_id", "source", "url", F.md5("content").alias("text_md5"), "statistics.character_count", "statistics.word_count")
+
+
+@query("SELECT id, url, filename, date_downloaded, date_published, count(*) AS n FROM crawl_metadata GROUP BY ALL")
+def metadata_round_trip(s, d):
+    """The crawl's metadata appended to CSV and read again; repeated rows are counted."""
+    path = new_path(s, "metadata")
+    meta = table(s, d, "crawl_metadata")
+    writers.metadata_csv(meta, path)
+    return readers.metadata_csv(s, path).groupBy(*meta.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(TOK + " SELECT doc_id, t AS token, count(*) AS n FROM tok GROUP BY ALL")
+def tokens_round_trip(s, d):
+    """All tokens written as CSV and read again."""
+    path = new_path(s, "tokens")
+    writers.token_rows(_tokens(s, d).select("doc_id", "token"), path)
+    return readers.tokens_csv(s, path).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(FR + " SELECT token FROM fr")
+def vocabulary_round_trip(s, d):
+    """The token list written as text and read again."""
+    path = new_path(s, "vocabulary")
+    writers.token_list(_freq(s, d), path)
+    return s.read.text(path).select(F.col("value").alias("token"))
+
+
+@query("SELECT DISTINCT filename, source_name, md5(html_content) AS h FROM articles WHERE filename IS NOT NULL")
+def pages_round_trip(s, d):
+    """Named pages landed in a store partitioned by source, twice; the second landing adds none."""
+    path = new_path(s, "pages")
+    named = table(s, d, "articles").where("filename IS NOT NULL").select("filename", "source_name", F.md5("html_content").alias("h")).distinct()
+    writers.pages_parquet(named, path)
+    writers.pages_parquet(named, path, readers.landed_pages(s, path))
+    return readers.landed_pages(s, path).select("filename", "source_name", "h")
+
+
 # --- crawl state
 
 _LATEST = "lh AS (SELECT url, content_hash, last_checked FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY coalesce(last_checked, -4611686018427387904) DESC, coalesce(content_hash, '') DESC) AS k FROM article_hashes) WHERE k = 1)"
@@ -429,22 +590,20 @@ def recrawl_due(s, d):
     return crawlstate.recrawl_due(table(s, d, "articles"), table(s, d, "article_hashes"), HOT_SOURCE, NOW, 4 * WEEK, 100)
 
 
-@query(f"WITH {_LATEST}, kn AS (SELECT DISTINCT url FROM articles WHERE crawl_timestamp < {BATCH_START} OR id % 2 = 0) SELECT a.url, CASE WHEN kn.url IS NULL THEN 'new' WHEN content_hash IS NOT NULL AND lower(content_hash) <> md5(html_content) THEN 'changed' ELSE 'unchanged' END AS status FROM articles a LEFT JOIN kn USING (url) LEFT JOIN lh USING (url)")
+@query(f"WITH {_LATEST}, kn AS (SELECT DISTINCT url FROM crawl_metadata) SELECT a.url, CASE WHEN kn.url IS NULL THEN 'new' WHEN content_hash IS NOT NULL AND lower(content_hash) <> md5(html_content) THEN 'changed' ELSE 'unchanged' END AS status FROM articles a LEFT JOIN kn USING (url) LEFT JOIN lh USING (url)")
 def change_detection(s, d):
-    """All pages against a store that has the older ones and every second new one."""
-    a = table(s, d, "articles")
-    known = a.where((F.col("crawl_timestamp") < BATCH_START) | (F.col("id") % 2 == 0))
-    return crawlstate.change_status(a, known, table(s, d, "article_hashes"))
+    """All pages against the addresses that crawls have named before."""
+    return crawlstate.change_status(table(s, d, "articles"), table(s, d, "crawl_metadata"), table(s, d, "article_hashes"))
 
 
-_OLD = f"o AS (SELECT * FROM articles WHERE crawl_timestamp < {BATCH_START}), n AS (SELECT id, url, html_content || '<!-- v2 -->' AS html_content, source_name, crawl_timestamp + 86400 AS crawl_timestamp, crawl_date, filename, article_number FROM articles WHERE id % 5 = 0)"
+_OLD = f"o AS (SELECT * FROM articles WHERE crawl_timestamp < {BATCH_START}), n AS (SELECT id, url, html_content || '<!-- v2 -->' AS html_content, source_name, crawl_timestamp + 86400 AS crawl_timestamp, crawl_date, filename, article_number FROM articles WHERE url IN (SELECT url FROM crawl_metadata))"
 
 
 @query(f"WITH {_OLD} SELECT coalesce(o.id, n.id) AS id, coalesce(o.url, n.url) AS url, md5(coalesce(n.html_content, o.html_content)) AS content_hash, CASE WHEN o.url IS NULL THEN n.source_name ELSE o.source_name END AS source_name, coalesce(n.crawl_timestamp, o.crawl_timestamp) AS crawl_timestamp, CASE WHEN o.url IS NULL THEN n.filename ELSE o.filename END AS filename FROM o FULL JOIN n ON o.url = n.url")
 def upsert_articles(s, d):
     a = table(s, d, "articles")
     old = a.where(F.col("crawl_timestamp") < BATCH_START)
-    new = a.where(F.col("id") % 5 == 0).withColumn("html_content", F.concat("html_content", F.lit("<!-- v2 -->"))).withColumn("crawl_timestamp", F.col("crawl_timestamp") + 86400)
+    new = a.join(table(s, d, "crawl_metadata").select("url"), "url", "left_semi").select(*a.columns).withColumn("html_content", F.concat("html_content", F.lit("<!-- v2 -->"))).withColumn("crawl_timestamp", F.col("crawl_timestamp") + 86400)
     return crawlstate.upsert_articles(old, new).select("id", "url", crawlstate.content_hash(F.col("html_content")).alias("content_hash"), "source_name", "crawl_timestamp", "filename")
 
 
@@ -454,23 +613,22 @@ def upsert_hashes(s, d):
     return crawlstate.upsert_hashes(table(s, d, "article_hashes"), new)
 
 
-_COUNTS = f"c AS (SELECT source_name, count(*)::INTEGER AS articles_count, max(url) AS position FROM articles WHERE source_name IS NOT NULL GROUP BY source_name HAVING count(*) % 2 = 0)"
+_COUNTS = f"c AS (SELECT source_name, count(*)::INTEGER AS articles_count, max(url) AS position FROM articles WHERE source_name IS NOT NULL GROUP BY source_name)"
 
 
 @query(f"WITH {_COUNTS} SELECT coalesce(p.source_name, c.source_name) AS source_name, CASE WHEN c.source_name IS NULL THEN p.position ELSE c.position END AS position, CASE WHEN c.source_name IS NULL THEN p.articles_count ELSE c.articles_count END AS articles_count, CASE WHEN c.source_name IS NULL THEN p.last_update ELSE {NOW} END AS last_update FROM parser_state p FULL JOIN c ON p.source_name = c.source_name")
 def upsert_parser_state(s, d):
     g = table(s, d, "articles").where("source_name IS NOT NULL").groupBy("source_name").agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("position"))
-    new = g.where("n % 2 = 0").select("source_name", "position", F.col("n").cast("int").alias("articles_count"), F.lit(NOW).cast("bigint").alias("last_update"))
+    new = g.select("source_name", "position", F.col("n").cast("int").alias("articles_count"), F.lit(NOW).cast("bigint").alias("last_update"))
     return crawlstate.upsert_state(table(s, d, "parser_state"), new)
 
 
-_RESUME = "SELECT min(url) FROM articles WHERE id = 50"
-
-
-@query("SELECT url FROM articles WHERE id > 50")
+@query("SELECT url FROM articles WHERE id > coalesce((SELECT min(a.id) FROM articles a JOIN parser_state p ON a.url = p.position), -1)")
 def resume_from_checkpoint(s, d):
+    """Pages by id after the first one that a stored position names; all where none does."""
     a = table(s, d, "articles")
-    at = a.where("id = 50").select("url").first()
+    named = a.join(table(s, d, "parser_state").select(F.col("position").alias("url")), "url", "left_semi")
+    at = named.orderBy("id").select("url").first()
     return crawlstate.resume_after(a.select("url", F.col("id").alias("pos")), at["url"] if at else None).select("url")
 
 
@@ -484,21 +642,33 @@ def articles_by_source(s, d):
     return table(s, d, "articles").groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH j AS (SELECT a.html_content, k.url IS NOT NULL AS known FROM articles a LEFT JOIN (SELECT DISTINCT url FROM article_hashes) k USING (url) WHERE crawl_timestamp >= {BATCH_START}), c AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT known AND html_content <> '') AS saved, count(*) FILTER (WHERE known) AS skipped FROM j) SELECT n AS processed, saved, skipped, round(saved * 100.0 / n, 6) AS success_pct FROM c")
+def crawl_summary(s, d):
+    """Counters of the new pages against the store's addresses."""
+    return crawlstate.crawl_summary(table(s, d, "articles").where(F.col("crawl_timestamp") >= BATCH_START), table(s, d, "article_hashes"))
+
+
+@query("SELECT id, article_number FROM articles WHERE article_number % 50 = 0 AND article_number > 0")
+def recrawl_points(s, d):
+    """Pages after which a crawl of their source checks old ones again."""
+    return crawlstate.recrawl_points(table(s, d, "articles"), "article_number").select("id", "article_number")
+
+
 @query(f"SELECT count(*) AS n FROM articles WHERE source_name = '{HOT_SOURCE}'")
 def stored_count(s, d):
     return crawlstate.stored_count(table(s, d, "articles"), HOT_SOURCE)
 
 
-@query("SELECT m.id, m.url FROM (SELECT DISTINCT id, url FROM crawl_metadata) m WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.url = m.url AND a.id % 3 = 0)")
+@query("SELECT m.id, m.url FROM (SELECT DISTINCT id, url FROM crawl_metadata) m WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.url = m.url AND a.crawl_timestamp < " + str(BATCH_START) + ")")
 def not_yet_stored(s, d):
     meta = table(s, d, "crawl_metadata").select("id", "url").distinct()
-    return crawlstate.missing(meta, table(s, d, "articles").where("id % 3 = 0")).select("id", "url")
+    return crawlstate.missing(meta, table(s, d, "articles").where(F.col("crawl_timestamp") < BATCH_START)).select("id", "url")
 
 
-@query("SELECT DISTINCT m.id, m.url FROM crawl_metadata m WHERE EXISTS (SELECT 1 FROM articles a WHERE a.url = m.url AND a.id % 3 = 0)")
+@query("SELECT DISTINCT m.id, m.url FROM crawl_metadata m WHERE EXISTS (SELECT 1 FROM articles a WHERE a.url = m.url AND a.crawl_timestamp < " + str(BATCH_START) + ")")
 def already_stored(s, d):
     meta = table(s, d, "crawl_metadata").select("id", "url").distinct()
-    return crawlstate.existing(meta, table(s, d, "articles").where("id % 3 = 0")).select("id", "url")
+    return crawlstate.existing(meta, table(s, d, "articles").where(F.col("crawl_timestamp") < BATCH_START)).select("id", "url")
 
 
 def flagship(s, d):

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("articles", "article_hashes", "crawl_metadata", "parser_state", "query_batch", "documents", "reading_labels", "mix_targets")
+# Columns of the exchanged files.
 XML_SCHEMA = "_id BIGINT, _source STRING, url STRING, content STRING, statistics STRUCT<character_count: BIGINT, word_count: BIGINT>"
 METADATA_SCHEMA = "id BIGINT, url STRING, filename STRING, date_downloaded STRING, date_published STRING"
 
@@ -25,6 +25,23 @@ class SiteOptions:
     recheck_seconds: int = 0
 
 
+#: Option names of a site's file and the fields that they set.
+_OPTIONS = {"source_name": "source_name", "base_url": "base_url", "encoding": "encoding", "delay": "delay_seconds", "target_count": "target_count", "recrawl_interval": "recheck_seconds"}
+
+
+def site_options(text: str) -> SiteOptions:
+    """Options from the text of a site's file: ``key: value`` lines in sections; comments and unknown keys are ignored."""
+    kinds = {f.name: type(f.default) if f.default is not dataclasses.MISSING else str for f in dataclasses.fields(SiteOptions)}
+    found = {}
+    for line in text.splitlines():
+        key, _, value = line.partition(":")
+        value = value.split(" #")[0].strip().strip("\"'")
+        field = _OPTIONS.get(key.strip())
+        if field and value:
+            found[field] = kinds[field](value)
+    return SiteOptions(**found)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -67,9 +84,9 @@ def declare_utf8(html: Column) -> Column:
 
 
 def sitemap_urls(lines: DataFrame, col: str = "value") -> DataFrame:
-    """``(url)`` from lines that are exactly one <loc> element with an http address."""
+    """``(url)`` from lines that are exactly one <loc> element with an http address; blanks around and inside are trimmed."""
     v = F.trim(F.regexp_replace(col, r"[\r\t]", " "))
-    inner = F.substring(v, F.lit(6), F.length(v) - 11)
+    inner = F.trim(F.substring(v, F.lit(6), F.length(v) - 11))
     return lines.where(F.startswith(v, F.lit("<loc>")) & F.endswith(v, F.lit("</loc>"))).select(inner.alias("url")).where(F.startswith("url", F.lit("http")))
 
 
@@ -82,7 +99,7 @@ def articles_xml(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "article").schema(XML_SCHEMA).load(path)
     text = F.replace(F.replace("content", F.lit("<![CDATA["), F.lit("")), F.lit("]]>"), F.lit(""))
     return rows.where(F.col("_id").isNotNull() & F.col("content").isNotNull()).select(
-        F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.regexp_replace("url", r"[\r\n]", "").alias("url"), F.trim(text).alias("content"), "statistics"
+        F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.regexp_replace("url", r"[\r\n]", "").alias("url"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("content"), "statistics"
     )
 
 
@@ -94,6 +111,12 @@ def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METADATA_SCHEMA).option("header", True).option("escape", '"').csv(path)
 
 
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of a store partitioned by source_name, which stays a string."""
+    names = spark.read.parquet(path)
+    return names.withColumn("source_name", F.col("source_name").cast("string"))
+
+
 def last_published(meta: DataFrame) -> DataFrame:
     """date_published of the row with the largest id (ties: later download, then value)."""
     top = F.max(F.struct("id", F.coalesce("date_downloaded", F.lit("")), F.coalesce("date_published", F.lit("")), "date_published"))
@@ -101,7 +124,7 @@ def last_published(meta: DataFrame) -> DataFrame:
 
 
 def query_lines(df: DataFrame, col: str = "line") -> list[str]:
-    """Typed queries in file order (a person's batch: bounded and small)."""
+    """Typed queries in file order (a person's batch: bounded and small); ``boolq.numbered`` tells which count."""
     return [r[0] or "" for r in df.select(col).collect()]
 
 
@@ -115,6 +138,3 @@ def jdbc_articles(spark: SparkSession, url: str, properties: dict) -> DataFrame:
     query = "(SELECT id, html_content, url, source_name FROM articles WHERE html_content IS NOT NULL AND html_content <> '') t"
     return spark.read.jdbc(url, query, properties=properties)
 
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.htmltext import char_count, word_count
+from lexmill.operators.crawlstate import ARTICLES, HASHES, STATE
 
 
 def pages_parquet(pages: DataFrame, path: str, known: DataFrame | None = None) -> None:
@@ -15,20 +16,35 @@ def pages_parquet(pages: DataFrame, path: str, known: DataFrame | None = None) -
     pages.write.mode("append").partitionBy("source_name").parquet(path)
 
 
+# Tables of the store and their columns are in ``crawlstate``.
+def create_tables(spark, database: str = "default") -> None:
+    """The three tables of the crawl's store, where they do not exist."""
+    for name, schema in (("articles", ARTICLES), ("article_hashes", HASHES), ("parser_state", STATE)):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema}) USING parquet")
+
+
 def metadata_csv(meta: DataFrame, path: str) -> None:
     meta.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
 def xml_rows(clean: DataFrame) -> DataFrame:
     """``clean(doc_id, text, url, source)`` in the nested shape of the XML file."""
-    cdata = F.concat(F.lit("<![CDATA["), F.col("text"), F.lit("]]>"))
+    cdata = F.concat(F.lit("<![CDATA[\n"), F.col("text"), F.lit("\n]]>"))
     stats = F.struct(char_count(F.col("text")).cast("bigint").alias("character_count"), word_count(F.col("text")).cast("bigint").alias("word_count"))
     return clean.where(F.col("text") != "").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "url", cdata.alias("content"), stats.alias("statistics"))
 
 
+# Namespace, version and date of the XML file.
+XML_ROOT = 'articles xmlns="http://www.example.com/f1news" version="1.0"'
+XML_DATE = "2024"
+
+
 def articles_xml(clean: DataFrame, path: str) -> None:
-    """One ``articles`` document per partition file."""
-    xml_rows(clean).write.mode("overwrite").format("xml").option("rootTag", "articles").option("rowTag", "article").save(path)
+    """One ``articles`` document per partition file, and one that holds ``meta`` with the number of articles."""
+    rows = xml_rows(clean)
+    rows.write.mode("overwrite").format("xml").option("rootTag", XML_ROOT).option("rowTag", "article").save(path)
+    meta = rows.agg(F.count(F.lit(1)).alias("total_articles"), F.lit(XML_DATE).alias("generated_date"))
+    meta.coalesce(1).write.mode("append").format("xml").option("rootTag", XML_ROOT).option("rowTag", "meta").save(path)
 
 
 def validate_xml(spark, path: str) -> tuple[int, str]:

@@ -24,22 +24,31 @@ def test_no_dates(spark, text):
     assert one(spark, U.parse_date(F.col("d")), d=text) is None
 
 
-def test_site_layouts():
-    assert H.paragraphs_of('<div id="content"><p>x <b>y</b></p><div><p>ad</p></div></div>') == "xy"
-    assert H.textblock_of('<div id="content"><h1>T</h1><div id="textblock">a<br>b<div>ad</div></div></div>') == "a b"
-    assert H.paragraphs_of("") == "" and H.paragraphs_of(None) is None and H.textblock_of("<p>x") == ""
+def test_site_layouts(spark):
+    a, b = H.site_a_text(F.col("h")), H.site_b_text(F.col("h"))
+    assert one(spark, a, h='<div id="content"><p>x <b>y</b></p><div><p>ad</p></div></div>') == "xy"
+    assert one(spark, a, h='<body><div class="big post_content"><p>x</p><div><div>ad</div><p>no</p></div><script>s</script><p>y</p></div><p>out</p>') == "x y"
+    assert one(spark, b, h='<div id="content"><h1>T</h1><div id="textblock">a<br>b<div>ad</div></div></div>') == "a b"
+    assert one(spark, b, h='<div id="content"><h1>T</h1>a<div>ad<div>x</div></div> b</div>c') == "a b"
+    assert one(spark, a, h="") == "" and one(spark, a, h=None) is None and one(spark, b, h="<p>x") == "" and one(spark, b, h=None) is None
 
 
 def test_generic_layout(spark):
     g = H.generic_text(F.col("h"))
     assert one(spark, g, h="<body><nav>n</nav><main>m</main></body>") == "m"
     assert one(spark, g, h="") == "" and one(spark, g, h=None) is None
+    assert one(spark, g, h="<article>a<article>b</article>c</article>d") == "a b c"
+    assert one(spark, g, h="<body>x<article> </article></body>") == ""
+    assert one(spark, g, h='<main>m</main><div class="post-content wide">p<div>q</div></div>') == "p q"
+    assert one(spark, g, h="<div class=content>p</div><body>no</body>") == "p"
+    assert one(spark, g, h='<section class="contents">no</section><main class="x">m') == "m"
     assert one(spark, H.normalize_space(F.col("h")), h="a b ") == "a b"
 
 
 def test_sitemap(spark):
     lines = spark.createDataFrame([("<loc>http://a/1</loc>",), ("<url>",), ("  <loc>ftp://x</loc>",), (None,)], "value STRING")
     assert [r.url for r in R.sitemap_urls(lines).collect()] == ["http://a/1"]
+    assert [r.url for r in R.sitemap_urls(lines.selectExpr("replace(value, 'http:', '  http:') AS value")).collect()] == ["http://a/1"]
 
 
 def test_xml_round_trip(spark, tmp_path):
@@ -49,6 +58,8 @@ def test_xml_round_trip(spark, tmp_path):
     got = {r.doc_id: (r.source, r.url, r.content, r.statistics.character_count) for r in R.articles_xml(spark, path).collect()}
     assert got == {1: ("s", "http://u/1", "a & <b>", 7), 3: ("t", "http://u/3", "я", 1)}
     assert S.validate_xml(spark, path) == (2, "a & <b>")
+    whole = "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    assert "<total_articles>2</total_articles>" in whole and "<generated_date>2024</generated_date>" in whole and 'version="1.0"' in whole and "xmlns=" in whole
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -98,6 +109,44 @@ def test_absolute(spark):
     assert one(spark, a, b="https://s/x/y", h="mailto:q") == "mailto:q"
 
 
+@pytest.mark.parametrize("base", ["https://s/x/y?q=1#f", "https://s", "https://s/", "https://s/a/b/c/"])
+def test_absolute_equals_the_library(spark, base):
+    from urllib.parse import urljoin
+
+    hrefs = ["", "#top", "?p=2", "z", "./z", "../z", "../../../z?u=/../v", "/z/../w", "/a/./b/", "..", ".", "z#f", "//t/z", "http://t/../z"]
+    rows = spark.createDataFrame([(base, h) for h in hrefs], "b STRING, h STRING").select("h", U.absolute(F.col("b"), F.col("h")).alias("x")).collect()
+    assert {r.h: r.x for r in rows} == {h: urljoin(base, h) for h in hrefs}
+
+
+def test_file_names(spark):
+    rows = spark.createDataFrame([("https://s/news/a:b", 1), ("https://s/a.html", 2), ("https://s/", 3), ("https://s", 4), (f"https://s/{'x' * 99}.html", 5), (None, 6)], "u STRING, n BIGINT")
+    got = [tuple(r) for r in rows.select(U.file_name_flat(F.col("u"), F.col("n")), U.file_name_capped(F.col("u"), F.col("n"))).collect()]
+    assert [a for a, _ in got] == ["news_a_b.html", "a.html", "article_3.html", "article_4.html", "x" * 99 + ".html", None]
+    assert got[4][1] == "x" * 95 + ".html" and got[1][1] == "a.html"
+
+
+def test_listing_links(spark):
+    html = '<a href="/news/2025/01/02/x">by day</a><a href="/news/y">no</a><div class="News-list"><div><a href="/news/z">in</a></div></div><a href="/news/w">after</a><li class=item><a href="/q">no news</a><a href="/news/z">again</a>'
+    rows = spark.createDataFrame([(html, "2025/01/02"), (html, None), (None, "x"), ("", "x")], "h STRING, d STRING")
+    got = [r.x for r in rows.select(H.listing_links(F.col("h"), F.col("d")).alias("x")).collect()]
+    assert got == [["/news/2025/01/02/x", "/news/z"], ["/news/z"], None, []]
+
+
+def test_site_options():
+    text = 'db:\n  host: localhost\nlogic:\n  base_url: https://s\n  source_name: s  # name\n  delay: 2.5\n  target_count: 7\n  recrawl_interval: 60 # a minute\n'
+    assert R.site_options(text) == R.SiteOptions("s", "https://s", delay_seconds=2.5, target_count=7, recheck_seconds=60)
+
+
+def test_tables_are_made_once(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS lexmill_test")
+    try:
+        S.create_tables(spark, "lexmill_test")
+        S.create_tables(spark, "lexmill_test")
+        assert {r.tableName for r in spark.sql("SHOW TABLES IN lexmill_test").collect()} == {"articles", "article_hashes", "parser_state"}
+    finally:
+        spark.sql("DROP DATABASE lexmill_test CASCADE")
+
+
 def test_pages_sink_skips_known(spark, tmp_path):
     p = spark.createDataFrame([("s", "f1", "x"), ("t", "f2", "y")], "source_name STRING, filename STRING, html STRING")
     path = str(tmp_path / "p")
