@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 ARTICLES = "id BIGINT, url STRING, html_content STRING, source_name STRING, crawl_timestamp BIGINT, crawl_date STRING, filename STRING, article_number INT"
 HASHES = "url STRING, content_hash STRING, last_checked BIGINT"
@@ -103,6 +104,20 @@ def stored_count(articles: DataFrame, source: str) -> DataFrame:
     return articles.where(F.col("source_name") == source).agg(F.count(F.lit(1)).alias("n"))
 
 
+def days_until(counts: DataFrame, max_empty: int, target: int | None = None) -> DataFrame:
+    """Days, newest first, that a crawl visits: up to ``max_empty`` empty ones in a row or ``target`` pages.
+
+    ``counts(day, n)`` has every day of the calendar once, so it is small.
+    """
+    order = W.orderBy(F.desc("day"))
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    rows = counts.withColumn("_k", F.row_number().over(order)).withColumn("_full", F.when(F.col("n") > 0, F.col("_k")))
+    rows = rows.withColumn("_last", F.coalesce(F.max("_full").over(before), F.lit(0))).withColumn("_run", F.col("_k") - 1 - F.col("_last"))
+    rows = rows.withColumn("_worst", F.coalesce(F.max("_run").over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))).withColumn("_sum", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    open_ = F.col("_worst") < max_empty
+    return rows.where(open_ if target is None else open_ & (F.col("_sum") < target)).select("day", "n")
+
+
 def resume_after(links: DataFrame, position: str | None, order: str = "pos") -> DataFrame:
     """Links after the last completed one; all where it is unknown or not listed."""
     if position is None:

@@ -637,6 +637,24 @@ def resume_day_list(s, d):
     return crawlstate.resume_days(s, "2025/12/01", "2025/09/20").select(F.date_format("day", "yyyy/MM/dd").alias("day"))
 
 
+_DAYS = "SELECT d::DATE AS day, count(a.id) AS n FROM (SELECT unnest(generate_series((SELECT min(to_timestamp(crawl_timestamp)::DATE) FROM articles), (SELECT max(to_timestamp(crawl_timestamp)::DATE) FROM articles), INTERVAL 1 DAY)) AS d) c LEFT JOIN articles a ON to_timestamp(a.crawl_timestamp)::DATE = d AND a.source_name = '{HOT_SOURCE}' GROUP BY d".replace("{HOT_SOURCE}", HOT_SOURCE)
+
+
+@query(
+    f"""WITH c AS ({_DAYS}), k AS (SELECT *, row_number() OVER (ORDER BY day DESC) AS k FROM c),
+    f AS (SELECT *, k - 1 - coalesce((SELECT max(p.k) FROM k p WHERE p.k < o.k AND p.n > 0), 0) AS run, coalesce((SELECT sum(p.n) FROM k p WHERE p.k < o.k), 0) AS s FROM k o)
+    SELECT strftime(day, '%Y/%m/%d') AS day, n FROM f o WHERE s < 50 AND NOT EXISTS (SELECT 1 FROM f p WHERE p.k <= o.k AND p.run >= 3)"""
+)
+def crawl_days(s, d):
+    """Days of one source, newest first, until 3 empty ones in a row or 50 pages."""
+    pages = table(s, d, "articles").select(F.to_date(F.timestamp_seconds("crawl_timestamp")).alias("day"), "source_name")
+    ends = pages.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    calendar = ends.select(F.explode(F.sequence("a", "b")).alias("day"))
+    counts = calendar.join(pages.where(F.col("source_name") == HOT_SOURCE).groupBy("day").agg(F.count(F.lit(1)).alias("_n")), "day", "left")
+    days = crawlstate.days_until(counts.select("day", F.coalesce("_n", F.lit(0)).alias("n")), 3, 50)
+    return days.select(F.date_format("day", "yyyy/MM/dd").alias("day"), "n")
+
+
 @query("SELECT source_name, count(*) AS n FROM articles GROUP BY source_name")
 def articles_by_source(s, d):
     return table(s, d, "articles").groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))

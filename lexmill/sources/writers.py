@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,5 +74,13 @@ def zipf_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def report(rows: DataFrame, title: str, log=None, most: int = 100) -> None:
+    """A small result as lines of a log: its title, then ``column: value`` of each row; ``most`` bounds what is shown."""
+    say = log or logging.getLogger("lexmill").info
+    say(title)
+    for r in rows.limit(most).collect():
+        say(", ".join(f"{c}: {v}" for c, v in r.asDict().items()))
+
+
 def search_report(report: DataFrame, path: str) -> None:
     report.orderBy("query_no").write.mode("overwrite").json(path)

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,8 +24,8 @@ def folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local.get("folder") or "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        _local["folder"] = found
     return found
 
 
