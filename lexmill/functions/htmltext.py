@@ -7,7 +7,9 @@ null, empty pages the empty string.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 REPORT_DROP = ("script", "style", "nav", "header", "footer", "iframe")
 GENERIC_DROP = ("script", "style", "nav", "header", "footer", "aside")
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
-ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&nbsp;", " "), ("&#171;", "«"), ("&#xBB;", "»"), ("&#8212;", "—"), ("&amp;", "&"))
+#: Characters of the named references, and of numbers that stand for bytes of cp1252.
+NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())}
+BYTES = {b: bytes([b]).decode("cp1252") for b in range(128, 160) if bytes([b]).decode("cp1252", "ignore")}
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
 
 
 def normalize_space(text: Column) -> Column:
@@ -24,9 +29,24 @@ def normalize_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def _map(of: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in of.items() for x in pair))
+
+
+def _character(ref: Column) -> Column:
+    """Character of one reference; unknown names stay, numbers of no character give U+FFFD."""
+    inner = F.substring(ref, F.lit(2), F.length(ref) - 2)
+    code = F.when(F.regexp_like(inner, F.lit("^#[xX]")), F.conv(F.substring(inner, F.lit(3), F.length(inner)), 16, 10).cast("bigint")).when(F.startswith(inner, F.lit("#")), F.substring(inner, F.lit(2), F.length(inner)).cast("bigint"))
+    none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code.isNull(), F.coalesce(F.try_element_at(_map(NAMED), inner), ref)).when(none, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(_map(BYTES), code.cast("int")), char))
+
+
 def decode_entities(text: Column) -> Column:
-    """The basic references, '&amp;' last so that nothing is decoded twice."""
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """Character references, named and numeric, decoded once; only those that end in a semicolon."""
+    refs = F.array_remove(F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))), "&amp;")
+    plain = F.aggregate(refs, text, lambda t, r: F.replace(t, r, _character(r)))
+    return F.when(F.contains(text, F.lit("&")), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(text)  # '&amp;' last: nothing is decoded twice
 
 
 def drop_elements(html: Column, names) -> Column:
@@ -42,7 +62,7 @@ def report_text(html: Column) -> Column:
     """Visible text of the body for size reports; '' where there is no body."""
     kept = drop_elements(html, REPORT_DROP)
     body = F.regexp_extract(kept, r"(?is)<body\b[^>]*>(.*?)</body\s*>", 1)
-    return normalize_space(decode_entities(strip_tags(body)))
+    return let(strip_tags(body), lambda t: normalize_space(decode_entities(t)))
 
 
 def let(value: Column, body) -> Column:
@@ -56,12 +76,11 @@ GENERIC_BOXES = ("article", ".article", ".post-content", ".content", "main", ".m
 
 def opening(selector: str) -> str:
     """Pattern of the opening tag of an element ``name``, ``.class`` or ``name#id``; no engine-specific syntax."""
-    if "#" in selector:
-        name, key = selector.split("#")
-        return rf"(?is)<{name}\s(?:[^>]*\s)?id\s*=\s*(?:[\"']{key}[\"'][^>]*|{key}(?:\s[^>]*)?)>"
-    if "." in selector:
-        name, key = selector.split(".")
-        return rf"(?is)<{name or '[a-z][a-z0-9]*'}\s(?:[^>]*\s)?class\s*=\s*(?:\"(?:[^\"]*\s)?{key}(?:\s[^\"]*)?\"[^>]*|'(?:[^']*\s)?{key}(?:\s[^']*)?'[^>]*|{key}(?:\s[^>]*)?)>"
+    name, mark, key = re.fullmatch(r"([a-z]*)([.#]?)(.*)", selector).groups()
+    if mark == "#":
+        return rf"(?s)<(?i:{name})\s(?:[^>]*\s)?(?i:id)\s*=\s*(?:[\"']{key}[\"'][^>]*|{key}(?:\s[^>]*)?)>"
+    if mark == ".":
+        return rf"(?s)<(?i:{name or '[a-z][a-z0-9]*'})\s(?:[^>]*\s)?(?i:class)\s*=\s*(?:\"(?:[^\"]*\s)?{key}(?:\s[^\"]*)?\"[^>]*|'(?:[^']*\s)?{key}(?:\s[^']*)?'[^>]*|{key}(?:\s[^>]*)?)>"
     return rf"(?is)<{selector}(?:\s[^>]*)?>"
 
 
@@ -99,14 +118,19 @@ def element_text(html: Column, tag: Column, keep: str = "text") -> Column:
 
 def first_tag(html: Column, selectors) -> Column:
     """Opening tag of the first selector that the page has; '' without any."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(html, opening(x), 0), F.lit("")) for x in selectors), F.lit(""))
+    def found(x: str) -> Column:
+        tag = F.nullif(F.regexp_extract(html, opening(x), 0), F.lit(""))
+        key = re.split("[.#]", x)[1:]
+        return F.when(F.contains(html, F.lit(key[0])), tag) if key else tag  # most pages lack the name: a plain search spares the pattern
+
+    return F.coalesce(*map(found, selectors), F.lit(""))
 
 
 def generic_text(html: Column) -> Column:
     """Text of the first of ``GENERIC_BOXES`` that the page has, be it empty; '' where none is found."""
     kept = F.when(html.isNotNull(), drop_elements(html, GENERIC_DROP))
     found = let(kept, lambda k: let(first_tag(k, GENERIC_BOXES), lambda t: element_text(k, t)))
-    return F.when(html.isNotNull(), normalize_space(decode_entities(strip_tags(found))))
+    return F.when(html.isNotNull(), let(strip_tags(found), lambda t: normalize_space(decode_entities(t))))
 
 
 # Boxes of the two site layouts and what is dropped from them.

@@ -351,10 +351,21 @@ for _n in H.REPORT_DROP:
     _DROP_R = f"regexp_replace({_DROP_R}, '<{_n}\\b[^>]*>.*?</{_n}\\s*>', '', 'gis')"
 
 
+_REF = L._q(H.REFERENCE)
+_NAMES, _CHARS = (f"[{', '.join(map(L._q, x))}]" for x in zip(*((f"&{k};", v) for k, v in H.NAMED.items())))
+
+
+def _sql_decode(t: str) -> str:
+    """Character references of an SQL expression decoded once, '&amp;' last."""
+    code = "(CASE WHEN regexp_matches(r, '^&#[xX]') THEN list_reduce(list_prepend(0, list_transform(string_split(substr(r, 4, length(r) - 4), ''), lambda c: strpos('0123456789abcdef', lower(c)) - 1)), lambda x, y: x * 16 + y) WHEN starts_with(r, '&#') THEN CAST(substr(r, 3, length(r) - 3) AS BIGINT) END)"
+    of_bytes = " ".join(f"WHEN {k} THEN {L._q(v)}" for k, v in H.BYTES.items())
+    one = f"CASE WHEN {code} IS NULL THEN coalesce({_CHARS}[list_position({_NAMES}, r)], r) WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN '\ufffd' ELSE CASE {code} {of_bytes} ELSE chr({code}::INTEGER) END END"
+    refs = f"list_filter(list_distinct(regexp_extract_all({t}, {_REF})), lambda r: r <> '&amp;')"
+    return f"(CASE WHEN contains({t}, '&') THEN replace(list_reduce(list_prepend({t}, {refs}), lambda a, r: replace(a, r, {one})), '&amp;', '&') ELSE {t} END)"
+
+
 def _sql_text(found: str) -> str:
-    t = f"regexp_replace({found}, '<[^>]*>', chr(10), 'gs')"
-    for a, b in H.ENTITIES:
-        t = f"replace({t}, {L._q(a)}, {L._q(b)})"
+    t = _sql_decode(f"regexp_replace({found}, '<[^>]*>', chr(10), 'gs')")
     return _CLEAN.replace("regexp_replace(text,", f"regexp_replace({t},")
 
 
@@ -398,10 +409,8 @@ def page_size_report(s, d):
 
 def _sql_strings(html: str, joint: str) -> str:
     """Stripped strings between tags of an SQL expression, joined."""
-    p = "p"
-    for a, b in H.ENTITIES:
-        p = f"replace({p}, {L._q(a)}, {L._q(b)})"
-    return f"array_to_string(list_filter(list_transform(string_split_regex({html}, '(?s)<[^>]*>'), lambda p: {_CLEAN.replace('regexp_replace(text,', f'regexp_replace({p},')}), lambda p: p <> ''), {L._q(joint)})"
+    clean = _CLEAN.replace("regexp_replace(text,", f"regexp_replace({_sql_decode('s')},")
+    return f"array_to_string(list_filter(list_transform(string_split_regex({html}, '(?s)<[^>]*>'), lambda s: {clean}), lambda s: s <> ''), {L._q(joint)})"
 
 
 def _sql_drop(html: str, names) -> str:

@@ -45,6 +45,15 @@ def test_generic_layout(spark):
     assert one(spark, H.normalize_space(F.col("h")), h="a b ") == "a b"
 
 
+def test_character_references(spark):
+    from html import unescape
+
+    d = H.decode_entities(F.col("h"))
+    for text in ("a", "", "&laquo;x&raquo; &#8212; &#xBB;", "&amp;lt;", "&auml;&Ouml;&euro;&hellip;&Alpha;", "&#128512;&#x1F600;", "&#150;&#0;&#xD800;&#9999999;", "&nosuch;&", "A&B; &#; &#x;", "&lt;b&gt;"):
+        assert one(spark, d, h=text) == unescape(text), text
+    assert one(spark, d, h=None) is None
+
+
 def test_sitemap(spark):
     lines = spark.createDataFrame([("<loc>http://a/1</loc>",), ("<url>",), ("  <loc>ftp://x</loc>",), (None,)], "value STRING")
     assert [r.url for r in R.sitemap_urls(lines).collect()] == ["http://a/1"]
