@@ -134,8 +134,15 @@ def fit_sentences(docs: list[list[list[str]]], levels: np.ndarray) -> SentenceMo
     # A document's sentences share its weight, damped so that long texts tell more.
     weight = np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
     weight = (weight / weight.mean()).astype(np.float32) if len(weight) else weight
-    counts = np.diff(np.append(starts, len(ids)))
-    feats = [np.array(x) for x in v.features]
+    # Features of every sentence, laid end to end, with their values.
+    per_word = np.array([len(x) for x in v.features], np.int64)
+    of_word = np.concatenate([np.array(x) for x in v.features]) if v.features else np.zeros(0, np.int64)
+    words = np.diff(np.append(starts, len(ids)))
+    m = per_word[ids]
+    flat_all = of_word[np.repeat(np.cumsum(per_word)[ids] - np.cumsum(m), m) + np.arange(m.sum())]
+    unit_all = np.repeat(1 / (np.sqrt(m) * np.repeat(np.sqrt(words), words)), m).astype(np.float32)
+    size_all = np.add.reduceat(m, starts) if len(starts) else m
+    end_all = np.cumsum(size_all)
     w = np.zeros((BUCKETS, LEVELS), np.float32)
     b = np.zeros((LENGTHS, LEVELS), np.float32)
     g2w, g2b = np.full_like(w, 1e-4), np.full_like(b, 1e-4)
@@ -144,17 +151,15 @@ def fit_sentences(docs: list[list[list[str]]], levels: np.ndarray) -> SentenceMo
         rate = RATE * (1 - 0.8 * epoch / EPOCHS)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            words = np.concatenate([ids[starts[r] : starts[r] + counts[r]] for r in rows])
-            n = counts[rows]
-            parts = [feats[x] for x in words]
-            m = np.array([len(p) for p in parts], np.int64)
-            flat = np.concatenate(parts)
-            unit = np.repeat(1 / (np.sqrt(m) * np.repeat(np.sqrt(n), n)), m).astype(np.float32)
-            per = np.add.reduceat(w[flat] * unit[:, None], np.concatenate([[0], np.cumsum(np.add.reduceat(m, np.concatenate([[0], np.cumsum(n)[:-1]])))[:-1]]))
+            size = size_all[rows]
+            ends = np.cumsum(size)
+            at_all = np.repeat(end_all[rows] - ends, size) + np.arange(ends[-1])
+            flat, unit = flat_all[at_all], unit_all[at_all]
+            per = np.add.reduceat(w[flat] * unit[:, None], ends - size)
             p = _softmax(per + b[lengths[rows]])
             p[np.arange(len(rows)), target[rows]] -= 1
             p *= weight[rows][:, None] / len(rows)
-            owner = np.repeat(np.repeat(np.arange(len(rows)), n), m)
+            owner = np.repeat(np.arange(len(rows)), size)
             gf = p[owner] * unit[:, None]
             o = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.diff(flat[o], prepend=-1))
