@@ -206,7 +206,7 @@ def page(text):
     return f'<html><body><nav><ul><li>Menu</li></ul></nav><div id="content"><h1>T</h1><p>{text}</p></div></body></html>'
 
 
-def test_duplicates(spark):
+def test_duplicates(spark, tmp_path):
     rng = random.Random(1)
     vocabulary = ["слово" + "абвгдежзик"[k % 10] + "лмнопрстуф"[k // 10 % 10] + "хцчшщыэюяь"[k // 100] for k in range(1000)]
     text = lambda: " ".join(rng.choice(vocabulary) for _ in range(120))
@@ -229,6 +229,16 @@ def test_duplicates(spark):
     got = {(r.id, r.reason) for r in history.duplicates(spark, a, hashes, s, start, "test_p3").collect()}
     assert got == {(10, "url"), (10, "text"), (11, "text"), (13, "text"), (14, "hash")}
     assert history.duplicates(spark, a.where("false"), hashes, s, start, "test_p3e").count() == 0
+    # History is parsed once, into a folder; a batch then comes without any earlier article.
+    folder = str(tmp_path / "index")
+    history.append(spark, history.stories(spark, a.where("crawl_timestamp < 1000"), s), folder)
+    batch = a.where("crawl_timestamp >= 1000")
+    assert {(r.id, r.reason) for r in history.duplicates(spark, batch, hashes, s, start, "test_p3f", folder).collect()} == got
+    before = spark.read.parquet(f"{folder}/stories").count()
+    new = history.stories(spark, batch, s)
+    history.append(spark, new, folder)
+    history.append(spark, new, folder)  # what is there already is not added again
+    assert spark.read.parquet(f"{folder}/stories").count() == before + 3
 
 
 def story_rows(spark, rows):
