@@ -19,6 +19,11 @@ _PLACEHOLDER = (
     r"%%[\w .]+%%", r"(?<!\w)__\w[\w .]*__(?!\w)", r"::\w[\w .]*::", r"(?<![\w#])#[a-zA-Z_]\w*#(?![\w#])", r"@Model\.\w+", r"^\[[a-zA-Z_]+\]$", r"^\{[a-zA-Z_.]+\}$",
 )
 _EMPTY = r"(?:null|None|NaN|undefined|N/A|XXX|TODO|TBD|Array\(\)|\[object Object\]|#REF!)"
+# Leftover values and forms of placeholders as they stand on pages.  With the
+# filler they are learned from besides the trusted passages of the sample, which may lack some.
+_FORMS = ("{{ %s }}", "{{%s}}", "${%s}", "$[%s]", "<%%= %s %%>", "{%% %s %%}", "%%%%%s%%%%", "__%s__", "::%s::", "#%s#", "@Model.%s", "[%s]", "{%s}")
+_NAMES = ("name", "title", "author.name", "body")
+_LEFTOVERS = ("null", "None", "NaN", "undefined", "N/A", "XXX", "TODO", "TBD", "Array()", "[object Object]", "#REF!")
 _FILLER = ("рыба-текст", "blindtext", "текст текст текст", "text text text", "здесь будет текст", "hier steht später", "text goes here", "insert text here", "тест тест", "test test")
 _ERROR = (
     r"^(?:error |ошибка |fehler )?[45]\d\d(?!\w| км| km| круг| laps| runden)", r"^internal server error", r"^bad gateway", r"^service (?:temporarily )?unavailable", r"^сервис временно недоступен", r"^page not found", r"^страница не найдена", r"^seite nicht gefunden",
@@ -36,6 +41,8 @@ ROUNDS = 6
 #: First guess for passages of trusted records that no rich record has.
 BESIDE = 0.5
 PSEUDO = 0.5
+#: Weight of an example of a leftover value, placeholder or filler beside the passages found.
+EXAMPLE = 0.25
 #: No feature decides alone.
 WEIGHT_MOST = 5.0
 #: Weight of unlabelled passages as positives.
@@ -77,14 +84,17 @@ _bare = _Bare().__getitem__
 
 
 def features(text: str) -> list[str]:
-    """Distinct words, shapes of words with signs in them, the first word and the length class."""
+    """Distinct words, shapes of words with signs in them, the first word, its shape and the length class."""
     words = text.lower().split()
     out = set(map(_bare, words))
     out.discard("")
     if _SIGN.search(text):
         out.update(["\x02" + _WORD.sub("w", w) for w in out if _SIGN.search(w)])
     if words:
-        out.add("\x03" + _DIGITS.sub("9", words[0]))
+        first = _DIGITS.sub("9", words[0])
+        out.add("\x03" + first)
+        if _SIGN.search(first):
+            out.add("\x04" + _WORD.sub("w", first))
     out.add(f"\x01{min(len(words), 40).bit_length()}")
     return list(out)
 
@@ -148,6 +158,8 @@ def fit(records: list[list[str]]) -> Model:
             beside.update(r)
     if not seeds:
         return Model({}, -1e9)
+    for p in (*_LEFTOVERS, *(f"{v} {v}" for v in _LEFTOVERS), *_FILLER, *(f % n for f in _FORMS for n in _NAMES)):
+        seeds[p] += EXAMPLE
     for p in list(others):
         if p in seeds or p in negative:
             negative[p] += others.pop(p) if p not in seeds else 0
