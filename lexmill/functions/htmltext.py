@@ -30,7 +30,7 @@ def normalize_space(text: Column) -> Column:
 
 
 def _map(of: dict) -> Column:
-    return F.create_map(*(F.lit(x) for pair in of.items() for x in pair))
+    return F.expr("map(" + ", ".join(f"{k!r}, '{v}'" for k, v in of.items()) + ")")
 
 
 def _character(ref: Column) -> Column:
