@@ -310,3 +310,28 @@ def test_last_seen_counters_keep_no_record_sets():
         counter.add(tokens(record))
     assert seen == [[1, 1, 1], [1, 1, 1], [2, 1, 1], [2, 2, 2], [3, 2, 2], [3, 2, 4]]
     assert sorted(zip(*counter.drain())) == [("a", 3, 2), ("b", 3, 2)]
+
+
+ODD_TEXTS = ["a😀é", "я😀Я", "é", "Ð¿Ñ€", "É", "größe", "яЯЯ", "ЯЯя", "\x85é", "prьfte die Lenkung", "наясдхрэ мю тнпсле", "Дождь всё изменил", "Ãœbung", "„Straße“", "пЯТЬ ШЕСТЬ", "±±± é"]
+
+
+def test_screens_of_many_texts_equal_those_of_one():
+    texts = [*ODD_TEXTS, "plain", *(t for n in range(0, 40, 4) for t in blocks(story(n)))]
+    assert encoding.clean_mask(texts).tolist() == [encoding.looks_clean(t) for t in texts]
+    model = encoding.fit(corpus())
+    wide = [t for t in texts if not t.isascii()]
+    wide += [g for k, t in enumerate(wide) if (g := encoding._spoil(t, k))]
+    got = encoding.gains(wide, model)
+    assert got.tolist() == [encoding.best_chain(t, model)[0] for t in wide] and (got > 0).any()
+    assert encoding.clean_mask([]).tolist() == encoding.gains([], model).tolist() == []
+
+
+@pytest.mark.parametrize("every", [[story(n) for n in range(0, 400, 4)], ["<p>only ascii text</p>", "<p>more of it</p>"], [None, ""]])
+def test_model_of_encodings_is_of_all_pages(spark, monkeypatch, every):
+    """Counts, margin and gate are those of the whole table, however small the sample is."""
+    monkeypatch.setattr(pages, "SHORT_SAMPLE", 5)
+    monkeypatch.setattr(pages, "LONG_SAMPLE", 5)
+    a = articles(spark, [(n, h, "s") for n, h in enumerate(every)]).repartition(3)
+    got, want = pages.fit_encoding(pages.sample(a)), encoding.fit([[b for b in pages.raw_blocks(h) if b and not b.isspace()] for h in every])
+    assert (got.gate, got.margin, got.size) == pytest.approx((want.gate, want.margin, want.size))
+    assert (got.classes == want.classes).all() and (got.table == want.table).all()
