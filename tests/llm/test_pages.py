@@ -335,3 +335,27 @@ def test_model_of_encodings_is_of_all_pages(spark, monkeypatch, every):
     got, want = pages.fit_encoding(pages.sample(a)), encoding.fit([[b for b in pages.raw_blocks(h) if b and not b.isspace()] for h in every])
     assert (got.gate, got.margin, got.size) == pytest.approx((want.gate, want.margin, want.size))
     assert (got.classes == want.classes).all() and (got.table == want.table).all()
+
+
+def residue_rows():
+    """Pages with body, pages of messages, and one leftover value that only a single page shows."""
+    return [*(rich(n) for n in range(0, 120, 4)), *(f"<p>404 Not Found</p><p>Страница не найдена {k}</p>" for k in range(8)), *(f"<p>Коротко {k}</p><p>{rich(900)[-60:]}</p>" for k in range(6)), rich(700).replace("<p>Автор", "<p>{{ body }}</p><p>zyzzyva</p><p>Автор"), "<p>TODO zyzzyva</p><p>TODO</p>", None, ""]
+
+
+@pytest.mark.parametrize("every", [residue_rows(), ["<p>Коротко</p>"], [None, ""]])
+def test_model_of_residue_is_of_all_pages(spark, monkeypatch, every):
+    """Weights and prior are those of the whole table, however small the sample is."""
+    monkeypatch.setattr(pages, "SHORT_SAMPLE", 3)
+    monkeypatch.setattr(pages, "LONG_SAMPLE", 3)
+    a = articles(spark, [(n, h, "s") for n, h in enumerate(every)]).repartition(3)
+    got, want = pages.fit_residue(pages.sample(a)), residue.fit([blocks(h) for h in every])
+    assert got.prior == pytest.approx(want.prior) and got.weights == pytest.approx(want.weights, abs=1e-5)
+    assert got.bound == pytest.approx(want.bound, abs=1e-5)
+    assert any("zyzzyva" in w for w in want.weights) == (len(every) > 2)
+
+
+def test_bound_of_residue_lies_under_every_trusted_passage():
+    """A message whose words stand in many stories too is found by the model all the same."""
+    model = residue.fit([[b.replace("трибуны", f"текст {n}") for b in blocks(rich(n))] for n in range(0, 400, 4)] + [["Текст текст текст текст текст."]] + [["404 Not Found", f"Страница не найдена {k}"] for k in range(200)])
+    assert 0 < model.score("Текст текст текст текст текст.") < residue.THRESHOLD
+    assert residue.Judge(model)(["Текст текст текст текст текст."]) and not residue.Judge(model)(blocks(rich(40)))
