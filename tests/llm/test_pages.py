@@ -359,3 +359,16 @@ def test_bound_of_residue_lies_under_every_trusted_passage():
     model = residue.fit([[b.replace("трибуны", f"текст {n}") for b in blocks(rich(n))] for n in range(0, 400, 4)] + [["Текст текст текст текст текст."]] + [["404 Not Found", f"Страница не найдена {k}"] for k in range(200)])
     assert 0 < model.score("Текст текст текст текст текст.") < residue.THRESHOLD
     assert residue.Judge(model)(["Текст текст текст текст текст."]) and not residue.Judge(model)(blocks(rich(40)))
+
+
+@pytest.mark.parametrize("every", [residue_rows(), ["<p>Коротко</p>"], [None, ""]])
+def test_weights_of_words_and_tags_are_of_all_pages(spark, monkeypatch, every):
+    """Weights are those of all pages without residue, however small the sample is."""
+    monkeypatch.setattr(pages, "SHORT_SAMPLE", 3)
+    monkeypatch.setattr(pages, "LONG_SAMPLE", 3)
+    a = articles(spark, [(n, h, "s") for n, h in enumerate(every)]).repartition(3)
+    s = pages.sample(a)
+    got, judge = pages.fit_markup(s), residue.Judge(pages.fit_residue(s))
+    want = markup.fit([p for h in every if not judge(blocks(h)) and (p := blocks_with_paths(h))])
+    assert got.words == pytest.approx(want.words) and got.tags == pytest.approx(want.tags)
+    assert bool(want.words) == bool(want.tags) == (len(every) > 2)
