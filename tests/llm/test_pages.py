@@ -372,3 +372,26 @@ def test_weights_of_words_and_tags_are_of_all_pages(spark, monkeypatch, every):
     want = markup.fit([p for h in every if not judge(blocks(h)) and (p := blocks_with_paths(h))])
     assert got.words == pytest.approx(want.words) and got.tags == pytest.approx(want.tags)
     assert bool(want.words) == bool(want.tags) == (len(every) > 2)
+
+
+@pytest.mark.parametrize("visits", [1, 20_000])
+def test_block_labeller_learns_from_all_pages(spark, monkeypatch, visits):
+    """Every page's own word is learned, however small the sample is, and whether pages are gone through once or more often."""
+    monkeypatch.setattr(pages, "SHORT_SAMPLE", 3)
+    monkeypatch.setattr(pages, "LONG_SAMPLE", 3)
+    monkeypatch.setattr(pages, "VISITS", visits, raising=False)
+    monkeypatch.setattr(pages, "LEARNT", 20, raising=False)
+    rows = [(n, story(n, f"qx{'abcdefgh'[k % 8]}{'klmnopqr'[k // 8]}"), "s") for k, n in enumerate(range(0, 240, 4))] + [(None, story(800, "qxnull"), "s"), (900, None, "s"), (901, "", "s")]
+    a = articles(spark, rows).repartition(3)
+    s = pages.sample(a)
+    got, before = pages.fit_mainbody(s).w["words"], mainbody.start()["words"]
+    own = [next(w for w in h.split() if w.startswith("qx")) for _, h, _ in rows[:61]]
+    assert len(set(own)) == 61 and [w for w in own if (got[mainbody._WORDS[w]] == before[mainbody._WORDS[w]]).all()] == []
+    if visits > 1:
+        page = blocks_with_paths(story(1000, "Олег Смирнов"))
+        assert sum(pages.fit_mainbody(s).label([page])[0] == mainbody.teach(page)) >= len(page) - 1
+
+
+def test_added_lines_are_told_as_by_the_whole_pattern():
+    texts = ["Автор: я", "сказал автор: я", "by Ann Lee!", "site.example", "see Foo.COM now", "x.de(", "a. bc", "1.ab", "ſ.ſſ", "", "Photo: x"]
+    assert [mainbody.added(t) for t in texts] == [mainbody._ADDED.search(t) is not None for t in texts] == [True, False, True, True, True, False, False, False, True, False, True]
