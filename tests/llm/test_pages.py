@@ -5,7 +5,7 @@ from hashlib import md5
 import pytest
 import regex
 
-from lexmill.llm import encoding, lines, mainbody, markup, pages, residue, terms
+from lexmill.llm import encoding, history, lines, mainbody, markup, pages, residue, terms
 from lexmill.llm.blocks import blocks, blocks_with_paths, clean
 
 SCHEMA = "id BIGINT, html_content STRING, source_name STRING, text STRING, n INT"
@@ -395,3 +395,14 @@ def test_block_labeller_learns_from_all_pages(spark, monkeypatch, visits):
 def test_added_lines_are_told_as_by_the_whole_pattern():
     texts = ["Автор: я", "сказал автор: я", "by Ann Lee!", "site.example", "see Foo.COM now", "x.de(", "a. bc", "1.ab", "ſ.ſſ", "", "Photo: x"]
     assert [mainbody.added(t) for t in texts] == [mainbody._ADDED.search(t) is not None for t in texts] == [True, False, True, True, True, False, False, False, True, False, True]
+
+
+def test_stories_of_bare_records_need_all_pages(spark, monkeypatch):
+    """An aside that few pages show is no part of a story in a record without tags either, however small the sample is."""
+    monkeypatch.setattr(pages, "SHORT_SAMPLE", 3)
+    monkeypatch.setattr(pages, "LONG_SAMPLE", 3)
+    aside = lambda n: story(n).replace("<p>", "<aside><p>Членская карта клуба даёт скидку на билеты, программу и стоянку весь сезон.</p></aside><p>", 3)
+    rows = [(n, 1, aside(n) if n % 20 == 0 else story(n)) for n in range(0, 800, 4)] + [(1000 + n, 1, "\n".join(blocks(aside(n)))) for n in range(0, 200, 20)]
+    a = spark.createDataFrame(rows, "id BIGINT, crawl_timestamp BIGINT, html_content STRING").repartition(3)
+    got = {r.id: r.story for r in history.stories(spark, a, pages.sample(a)).collect()}
+    assert sum(got.get(1000 + n) == got[n] for n in range(0, 200, 20)) >= 9
