@@ -406,3 +406,25 @@ def test_stories_of_bare_records_need_all_pages(spark, monkeypatch):
     a = spark.createDataFrame(rows, "id BIGINT, crawl_timestamp BIGINT, html_content STRING").repartition(3)
     got = {r.id: r.story for r in history.stories(spark, a, pages.sample(a)).collect()}
     assert sum(got.get(1000 + n) == got[n] for n in range(0, 200, 20)) >= 9
+
+
+def test_passages_that_cannot_be_cases_are_not_scored():
+    """The bound that spares a passage its score never changes the decision."""
+    model = residue.Model({"null": 4.0, "404": 2.5, "найдена": 3.0, "карта": -2.0, "\x03null": 2.5, "{x}": 2.0, "\x02{w}": 3.0, "\x04{w}": 2.0, "\x014": 0.5}, -5.0, 1.0)
+    judge, scored = residue.Judge(model), []
+    score = judge.score
+    judge.score = lambda text: scored.append(text) or score(text)
+    texts = ["null", "Null null", "null карта", "{x}", "a {x}, b", "{X} null", "404", "найдена", "Страница не найдена (404)!", "", "карта торможений", "трибуны встали " * 30, "null " * 30 + "карта"]
+    got = [judge.passage(t) for t in texts]
+    assert got == [model.score(t) > model.bound for t in texts] and True in got
+    assert "null" in scored and not {"", "карта торможений", "трибуны встали " * 30} & set(scored)
+
+
+def test_words_of_a_repeated_block_are_read_once(monkeypatch):
+    read = []
+    words = markup._words
+    monkeypatch.setattr(markup, "_words", lambda text: read.append(text) or words(text))
+    weights = markup.Weights({"трибуны": 1.0, "9": -0.5, "^трибуны": 0.25}, {"<p": -0.25})
+    page = [("Трибуны 12", ("p",)), ("трибуны", ("p",)), ("Трибуны 12", ("p",))]
+    assert weights.scores(page) == weights.scores(page) == [0.5, 0.25, -0.25] and sorted(read) == ["Трибуны 12", "трибуны"]
+    assert words("Ёж_2²x — A1\x1fb!") == {"ёж", "9", "—", "a", "b", "!", "\x0141", "^ёж"}
