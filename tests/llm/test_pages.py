@@ -428,3 +428,14 @@ def test_words_of_a_repeated_block_are_read_once(monkeypatch):
     page = [("Трибуны 12", ("p",)), ("трибуны", ("p",)), ("Трибуны 12", ("p",))]
     assert weights.scores(page) == weights.scores(page) == [0.5, 0.25, -0.25] and sorted(read) == ["Трибуны 12", "трибуны"]
     assert words("Ёж_2²x — A1\x1fb!") == {"ёж", "9", "—", "a", "b", "!", "\x0141", "^ёж"}
+
+
+def test_usual_blocks_are_looked_at_once(monkeypatch):
+    """Blocks that the model finds usual are remembered, as are odd ones, and restored ones stay the same."""
+    repair, asked = encoding.Repairer(encoding.fit(corpus())), []
+    odd = encoding.suspicious
+    monkeypatch.setattr(encoding, "suspicious", lambda raws, model: asked.extend(raws) or odd(raws, model))
+    good, bad = "Неожиданно пилот проверила карту торможений, и судьи взяли паузу", "«Дождь всё изменил», — сказал Олег"
+    raws = [good, "".join(encoding._FROM_BYTES["cp1252"][b] for b in bad.encode()), good, "plain", "a � b"]
+    assert repair(raws) == repair(raws) == {1: bad, 4: None}
+    assert sorted(asked) == sorted(raws[:2])
