@@ -439,3 +439,18 @@ def test_usual_blocks_are_looked_at_once(monkeypatch):
     raws = [good, "".join(encoding._FROM_BYTES["cp1252"][b] for b in bad.encode()), good, "plain", "a � b"]
     assert repair(raws) == repair(raws) == {1: bad, 4: None}
     assert sorted(asked) == sorted(raws[:2])
+
+
+def test_states_of_a_batch_are_those_of_single_pages():
+    """Rows laid out step by step give every page, of any length, its own scores; training keeps its states in one piece."""
+    import numpy as np
+
+    found = [blocks_with_paths(story(n)) for n in range(4)]
+    found = [found[0][:3], found[1], [], found[2][:1], found[3]]
+    tagger, s = mainbody.Tagger(mainbody.start()), mainbody.encode(found)
+    alone = [tagger.scores(mainbody.encode([p])) for p in found]
+    assert np.allclose(tagger.scores(s), np.concatenate(alone), atol=1e-5)
+    tapes = []
+    tagger.run(tagger.inputs(s), s.lengths, tapes)
+    live, firsts, at, gates, *states = tapes[1]
+    assert sum(live) == firsts[-1] == len(at) == len(gates) and sorted(at) == list(range(len(s.text_of))) and all(len(x) == len(at) for x in states)
